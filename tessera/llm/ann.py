@@ -2,7 +2,7 @@
 
 Coarse centroids and the codebooks of residuals are fitted by k-means on a bounded sample
 (``SAMPLE`` vectors with the lowest hashes); every vector is indexed. A query is compared with the
-lists of its ``probes`` nearest centroids: an asymmetric distance table scores all codes of a list,
+lists of its nearest centroids, as many as brute force on the sample says that it takes: an asymmetric distance table scores all codes of a list,
 the best are reranked by the exact distance on the original vectors.
 
 Equal vectors are one entry that knows its smallest ids, so a vector shared by a third of all rows
@@ -33,7 +33,8 @@ from tessera.llm.common import Written
 SAMPLE = 32_768
 #: Lists at most; they grow with the root of the number of vectors.
 LISTS = 4_096
-PROBES = 0.25  # of the lists at first, fewer of many: see probes_of
+#: Share of true neighbours that the searched lists must hold, by brute force on the sample.
+COVERED = 0.97
 SUBSPACES, CODES = 16, 256
 #: Entries of a list, and queries to it, that one task holds at once.
 BLOCK = 4_096
@@ -134,9 +135,23 @@ def search_block(index: Index, keep: int, queries: pa.Table, entries: pa.Table)
     return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
 
 
-def probes_of(lists: int) -> int:
-    """A quarter of few lists; of many, the share falls with the root."""
-    return max(1, min(lists, math.ceil(PROBES * math.sqrt(lists * 64))))
+def probes_for(index: Index, sample: np.ndarray, k: int, target: float = COVERED, trials: int = 256) -> int:
+    """The fewest lists a query must search so that they hold ``target`` of the true neighbours,
+    measured by brute force for some vectors of the sample against all of it."""
+    own = nearest(sample, index.centers)
+    ranks = []
+    for i in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
+        far = squares(sample[i : i + 1], sample)[0]
+        far[i] = np.inf
+        near = np.argsort(far)[: min(k, len(sample) - 1)]
+        order = np.argsort(squares(sample[i : i + 1], index.centers)[0])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranks.append(place[own[near]])
+    found = np.concatenate(ranks)
+    if not len(found):
+        return len(index.centers)
+    return min(len(index.centers), int(np.quantile(found, target, method="higher")) + 1)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     x = np.array([r["vector"] for r in sample.select("vector").toLocalIterator()], np.float64)
     lists = max(1, min(LISTS, len(x) // 32, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n))))))
     index = fit(x, lists)
-    probes = probes_of(lists)
+    probes = probes_for(index, x, k)
     filed = written(
         entries.select("entry", "vector").mapInArrow(functools.partial(listed, index), "list int, codes binary, entry long, vector array<float>")
     )
