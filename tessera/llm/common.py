@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +106,36 @@ def components(edges: DataFrame, written: Written) -> DataFrame:
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by their first ``keys`` columns, in tables that hold whole groups, and each group's
+    rows: (from, until). Only a group that goes on is held back."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, list[tuple[int, int]]]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        fresh = np.zeros(rows.num_rows, bool)
+        fresh[:1] = True
+        for c in range(keys):
+            values = rows.column(c).to_numpy()
+            fresh[1:] |= values[1:] != values[:-1]
+        begin = np.flatnonzero(fresh).tolist()
+        return rows, list(zip(begin, [*begin[1:], rows.num_rows], strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(c)[-1].as_py() for c in range(keys)]
+        ends = np.ones(batch.num_rows, bool)  # rows of the batch's last group
+        for c in range(keys):
+            ends &= batch.column(c).to_numpy(zero_copy_only=False) == last[c]
+        start = batch.num_rows - int(ends.sum())
+        if start or (held and [held[-1].column(c)[-1].as_py() for c in range(keys)] != last):
+            if start:
+                held.append(batch.slice(0, start))
+            yield out()
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield out()

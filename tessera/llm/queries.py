@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, licenses, lines, packing, quality_model, rules, sharding, simhash
+from tessera.llm import ann, bpe, licenses, lines, packing, quality_model, rules, sharding, simhash, substrings
 from tessera.llm.common import table
 
 
@@ -16,6 +16,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -54,6 +58,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substrings": op1_substrings,
         "op2_bpe": op2_bpe,
         "op3_sharding": op3_sharding,
         "op4_ann": op4_ann,
