@@ -35,7 +35,7 @@ NO_RANK = np.iinfo(np.int64).max
 #: Outside of this Unicode versions and case rules may differ between libraries.
 ODD = regex.compile(r"[^\x21-\x7e\xa1-\u024f]")
 #: Chunks in one generation of those that a Python worker remembers: 400 MB for both at most.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -124,14 +124,6 @@ class WordBpe:
         # beyond common Latin letters the library's own tables say what is a letter
         return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
-    def encode_chunks(self, chunks: list[str], form: "Form") -> list:
-        """What ``form`` makes of the ids of each chunk: a text without white space or special tokens."""
-        cut = [self.pieces_of(c) for c in chunks]
-        every = list(dict.fromkeys(p for ps in cut for p in ps))
-        flat, at = self.words([p.encode() for p in every])
-        made = dict(zip(every, form.of_pieces(flat, at.tolist()), strict=True))
-        return [made[ps[0]] if len(ps) == 1 else form.joined([made[p] for p in ps]) for ps in cut]
-
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space; special tokens stand alone."""
         if "<|" in text and self.special_at.search(text):
@@ -201,6 +193,19 @@ def model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def id_bytes(path: str) -> "Remembered":
+    """One for each Python worker: what a task has met helps the next."""
+    return Remembered(model(path), Bytes())
+
+
+@functools.lru_cache(maxsize=1)
+def id_and_token_strings(path: str) -> "Remembered":
+    bpe = model(path)
+    names = [bpe.tokens[i] for i in range(len(bpe.tokens))]
+    return Remembered(bpe, Pairs(Strings([str(i) for i in range(len(names))]), Strings(names)))
+
+
 class Remembered(dict):
     """Chunks met so far and what ``form`` made of their ids, in two generations of bounded size."""
 
@@ -219,21 +224,34 @@ class Remembered(dict):
         if not self:
             self.update(self.special)
         met = set().union(*lists).difference(self)
-        old = self.old
+        self.learn(met if not self.old else self.recalled(met))
+        return lists
+
+    def recalled(self, chunks: Iterable[str]) -> list[str]:
+        """Take what the older generation knows; the rest is new."""
         new = []
-        for c in met:
-            if (known := old.get(c)) is None:
+        for c in chunks:
+            if (known := self.old.get(c)) is None:
                 new.append(c)
             else:
                 self[c] = known
-        self.update(zip(new, self.bpe.encode_chunks(new, self.form), strict=True))
-        return lists
+        return new
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Encode chunks. A piece is a chunk whose only piece it is, so pieces are remembered alike."""
+        cut = {c: self.bpe.pieces_of(c) for c in chunks}
+        every = list({p for ps in cut.values() for p in ps}.difference(self))
+        flat, at = self.bpe.words([p.encode() for p in every])
+        self.update(zip(every, self.form.of_pieces(flat, at.tolist()), strict=True))
+        for c, ps in cut.items():
+            if len(ps) != 1:
+                self[c] = self.form.joined([self[p] for p in ps])
+            elif ps[0] != c:
+                self[c] = self[ps[0]]
 
 
 def digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = model(path)
-    names = [bpe.tokens[i] for i in range(len(bpe.tokens))]
-    known = Remembered(bpe, Pairs(Strings([str(i) for i in range(len(names))]), Strings(names)))
+    known = id_and_token_strings(path)
     sha = hashlib.sha256
     for batch in batches:
         counts, one, two = [], [], []
@@ -258,8 +276,7 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def id_arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = model(path)
-    known = Remembered(bpe, Bytes())
+    known = id_bytes(path)
     for batch in batches:
         lists = known.prepare(batch.column(1).to_pylist())
         ids = [np.frombuffer(b"".join([known[c] for c in chunks]), "<i4") for chunks in lists]

@@ -32,8 +32,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def cut(tokenizer: str, width: int, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole sequences and the remainder of each document."""
-    model = bpe.model(tokenizer)
-    known = bpe.Remembered(model, bpe.Bytes())
+    known = bpe.id_bytes(tokenizer)
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
         rows: list[tuple] = []
