@@ -1,10 +1,62 @@
-"""The corpus pipeline (under construction)."""
-STAGES = []
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next one's docs. All but the last return the columns of documents; rows that a stage rejects go, and
+text that it cuts is gone for those after it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import lines, packing, queries, rules, simhash, substrings
+from tessera.llm.common import Written, refreshed
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the policy go."""
+    return rules.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a tenth of a source's documents are cut from them."""
+    return refreshed(lines.without_boilerplate(docs).drop("__lines", "__cut"), docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut; a document of nothing else goes."""
+    return refreshed(substrings.without_passages(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, tokenised and packed into sequences."""
+    return packing.pack(docs, queries.word_bpe())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
+
+#: SimHash groups and chained passages have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = Written(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs

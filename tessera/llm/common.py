@@ -139,3 +139,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         held.append(batch.slice(start))
     if held:
         yield out()
+
+
+def refreshed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of docs, with n_chars counted anew where there is such a column."""
+    again = F.length(F.col("text")).cast("long")
+    return docs.select(*[again.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

@@ -110,6 +110,8 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
     rows = rows.withColumn("sorted", pairs)
     rows = rows.withColumn("n_repeat_words", repeated_words("sorted"))
+    # a filter on the result must not be pushed below here, where it would repeat every measurement
+    rows = rows.select("kept", F.explode(F.array(F.struct(*MEASURES))).alias("m")).select("kept", "m.*")
     bits = [F.when(F.expr(rule.failed), F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long") for rule in RULES]
     failed = bits[0]
     for bit in bits[1:]:
