@@ -24,26 +24,26 @@ from tessera.llm.common import lower_ascii
 #: Phrases found at every place, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword that the words must hold, name of the license as a pattern over words
+#: label, words of which one must occur, name of the license as a pattern over words
 FAMILIES = (
     ("mit", "mit", r"mit(?: x11)?"),
     ("apache-1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 1(?: [01])?"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 2(?: 0)?"),
     ("bsd", "bsd", r"(?:new |modified |simplified |original )?bsd"),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|freebsd)"),
+    ("bsd-2", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|freebsd)"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("bsd-0", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)"),
-    ("gpl-1", "gpl", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
+    ("bsd-0", "bsd 0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)"),
+    ("gpl-1", "gpl gpl1", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?"),
+    ("gpl-2", "gpl gpl2", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", "gpl gpl3", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
     ("gpl", "general", r"(?:gnu )?general public"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
     ("lgpl", "library", r"(?:gnu )?library general public"),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2(?: [01])?"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2", "lgpl lgpl2", r"(?:gnu )?lgpl(?: version| v)? ?2(?: [01])?"),
+    ("lgpl-3", "lgpl lgpl3", r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3", "agpl agpl3", r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
     ("mpl-1", "mozilla", r"mozilla public(?: license)?(?: version| v)? 1(?: [01])?"),
     ("mpl-2", "mozilla", r"mozilla public(?: license)?(?: version| v)? 2(?: 0)?"),
@@ -92,21 +92,21 @@ FAMILIES = (
     ("cc-by-nc-sa", "commons", r"creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc-nd", "commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
 )
-#: How a license is named; certainty in percent; the surest come first. {} is the family's pattern.
+#: How a license is named; words of which one must occur; certainty in percent. {} is the family's pattern.
 TEMPLATES = (
-    (r"(?:is |are )?(?:licensed|released|distributed|published|available|made available) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: license| licence)?", 95),
-    (r"spdx license identifier {}", 95),
-    (r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: license| licence)?", 80),
-    (r"(?:see|read) (?:the )?{} (?:license|licence)", 70),
-    (r"(?:the )?{} (?:license|licence)", 60),
+    (r"(?:is |are )?(?:licensed|released|distributed|published|available|made available) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: license| licence)?", "under", 95),
+    (r"spdx license identifier {}", "spdx", 95),
+    (r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: license| licence)?", "subject", 80),
+    (r"(?:see|read) (?:the )?{} (?:license|licence)", "license licence", 70),
+    (r"(?:the )?{} (?:license|licence)", "license licence", 60),
 )
-#: label, keyword, pattern, certainty: signatures of their own
+#: label, words of which one must occur, pattern, certainty: signatures of their own
 SINGLE = (
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 100),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 100),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 100),
     ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 100),
-    ("gpl", "general", r"gnu general public license(?: as published by the free software foundation)?(?: (?:either )?version [123](?: of the license)?)?", 90),
+    ("gpl", "gnu", r"gnu general public license(?: as published by the free software foundation)?(?: (?:either )?version [123](?: of the license)?)?", 90),
     ("lgpl", "general", r"gnu (?:lesser|library) general public license(?: version [23](?: [01])?)?", 90),
     ("agpl", "affero", r"gnu affero general public license(?: version 3)?", 90),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 100),
@@ -139,17 +139,22 @@ SINGLE = (
 class Rule:
     priority: int  # the smaller the higher
     label: str
-    keyword: str
+    keywords: tuple[str, ...]  # words of which one must occur
+    context: tuple[str, ...]  # and of these too, unless there are none
     pattern: str
     certainty: int
 
 
 def rules() -> list[Rule]:
     """All signature rules in order of priority: the surest first, then the longest pattern."""
-    made = [(label, keyword, pattern, sure) for label, keyword, pattern, sure in SINGLE]
-    made += [(label, keyword, t.format(name), sure) for label, keyword, name in FAMILIES for t, sure in TEMPLATES]
-    made.sort(key=lambda r: (-r[3], -len(r[2]), r[0], r[2]))
-    return [Rule(k, *r) for k, r in enumerate(made)]
+    made = [(label, keys, "", pattern, sure) for label, keys, pattern, sure in SINGLE]
+    made += [(label, keys, context, t.format(name), sure) for label, keys, name in FAMILIES for t, context, sure in TEMPLATES]
+    made.sort(key=lambda r: (-r[4], -len(r[3]), r[0], r[3]))
+    return [Rule(k, label, tuple(keys.split()), tuple(context.split()), pattern, sure) for k, (label, keys, context, pattern, sure) in enumerate(made)]
+
+
+def word_array(words: tuple[str, ...] | list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
 def rule_table(found: list[Rule]) -> Column:
@@ -159,7 +164,8 @@ def rule_table(found: list[Rule]) -> Column:
             F.struct(
                 F.lit(r.priority).alias("priority"),
                 F.lit(r.label).alias("label"),
-                F.lit(r.keyword).alias("keyword"),
+                word_array(r.keywords).alias("keywords"),
+                word_array(r.context).alias("context"),
                 F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
                 F.lit(r.certainty).alias("certainty"),
             )
@@ -168,12 +174,6 @@ def rule_table(found: list[Rule]) -> Column:
     )
 
 
-def words_joined(text: Column) -> Column:
-    """Lower-cased words, each after a space, and a space at the end; one space if there are none."""
-    flat = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(flat == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), flat, F.lit(" ")))
-
-
 def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, " ", ""))
 
@@ -200,10 +200,14 @@ def spans(words: Column, rule: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: places of the base phrases, labels that survive, score. No shuffle."""
     found = rules()
-    rows = docs.select(F.col("doc_id"), words_joined(F.col("text")).alias("ws"))
-    rows = rows.withColumn("n_words", (spaces(F.col("ws")) - 1).cast("long"))
-    keywords = sorted({r.keyword for r in found} | {p.split()[0] for p, _ in BASE})
-    rows = rows.withColumn("gate", F.expr(" OR ".join(f"contains(ws, '{k}')" for k in keywords)))
+    # words hold letters of any case: which are word characters does not depend on it
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    rows = docs.select(F.col("doc_id"), flat.alias("flat"))
+    # the prefilter takes words in all lower case: beyond A-Z that may let through more, never less
+    rows = rows.withColumn("all_words", F.when(F.col("flat") == "", word_array([])).otherwise(F.split(F.lower("flat"), " ")))
+    keywords = sorted({w for r in found for w in r.keywords + r.context} | {p.split()[0] for p, _ in BASE})
+    rows = rows.select("doc_id", "flat", F.size("all_words").cast("long").alias("n_words"), F.array_intersect("all_words", word_array(keywords)).alias("present"))
+    rows = rows.withColumn("ws", F.when(F.size("present") > 0, F.concat(F.lit(" "), lower_ascii(F.col("flat")), F.lit(" "))).otherwise(F.lit(" ")))
     for k, (phrase, _) in enumerate(BASE):
         cut = F.when(F.contains("ws", F.lit(f" {phrase} ")), F.split("ws", f"(?<= ){phrase}(?= )"))
         rows = rows.withColumn(f"cut{k}", cut)
@@ -213,8 +217,11 @@ def scan(docs: DataFrame) -> DataFrame:
     given = F.array_compact(F.array(*[F.when(F.col(f"cut{k}").isNotNull(), F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     rows = rows.withColumn("base", given)
     hits = F.when(
-        F.col("gate"),
-        F.filter(rule_table(found), lambda r: F.contains("ws", r["keyword"]) & F.rlike("ws", r["pattern"])),
+        F.size("present") > 0,
+        F.filter(
+            rule_table(found),
+            lambda r: F.arrays_overlap("present", r["keywords"]) & ((F.size(r["context"]) == 0) | F.arrays_overlap("present", r["context"])) & F.rlike("ws", r["pattern"]),
+        ),
     ).otherwise(F.filter(rule_table(found[:1]), lambda r: F.lit(False)))
     rows = rows.withColumn("hits", hits)
     rows = rows.withColumn("spans", F.flatten(F.transform("hits", lambda r: spans(F.col("ws"), r))))
