@@ -18,8 +18,8 @@ from tessera.streaming.search import drained, stream_static_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The queries' constants: a box, a point and a radius within the views' extents.
-QUERY_BOX = (400.0, 100.0, 700.0, 250.0)
-AT = (601.0, 203.0)
+QUERY_BOX = (40.0, 100.0, 130.0, 250.0)
+AT = (61.0, 203.0)
 RADIUS = 40.0
 LONLAT = (-74.0, 40.7)
 

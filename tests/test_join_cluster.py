@@ -1,0 +1,191 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera import SpatialError
+from tessera.functions.curve import hilbert_steps
+from tessera.operators import cluster, join, kd, meta, search
+from tessera.sources import buffer
+from tessera.sources.frame import write_clustered
+from tessera.streaming.search import stream_static_join
+from tests.fixtures import box_frame, ids, point_frame, random_boxes
+
+
+def pairs(df):
+    return sorted((r["left"], r["right"]) for r in df.collect())
+
+
+def brute(a, b):
+    hit = (a[:, None, 0] <= b[:, 2]) & (a[:, None, 1] <= b[:, 3]) & (a[:, None, 2] >= b[:, 0]) & (a[:, None, 3] >= b[:, 1])
+    return [(int(i), int(j)) for i, j in np.argwhere(hit)]
+
+
+def test_join_of_mixed_sizes(spark):
+    a = np.concatenate([random_boxes(150, 1), random_boxes(10, 2, side=400), [[0, 0, 2000, 2000]], [[5, 5, 5, 5]]])
+    b = np.concatenate([random_boxes(120, 3, side=0.1), random_boxes(10, 4, side=300), [[5, 5, 5, 5]]])
+    left, right = box_frame(spark, a), box_frame(spark, b)
+    want = brute(a, b)
+    assert pairs(join.tree_join(left, right)) == want
+    assert ids(join.semi(left, right)) == sorted({i for i, _ in want})
+    assert ids(join.anti(left, right)) == sorted(set(range(len(a))) - {i for i, _ in want})
+    assert pairs(stream_static_join(left, right, 50.0)) == want
+
+
+def test_self_join_keeps_both_directions(spark):
+    rows = [(0, 0, 1, 1), (1, 1, 2, 2), (5, 5, 6, 6), (-3, -3, -3, -3), (-3, -3, -3, -3)]
+    data = box_frame(spark, rows)
+    assert pairs(join.tree_join(data, data)) == brute(np.array(rows, float), np.array(rows, float))
+
+
+def test_join_of_nothing_and_of_inverted_boxes(spark):
+    none, one = box_frame(spark, []), box_frame(spark, [(0, 0, 1, 1)])
+    assert pairs(join.tree_join(none, one)) == pairs(join.tree_join(one, none)) == pairs(join.tree_join(none, none)) == []
+    with pytest.raises(SpatialError):
+        join.tree_join(one, box_frame(spark, [(1, 0, 0, 1)]))
+
+
+def test_refined_join(spark):
+    a, b = box_frame(spark, [(0, 0, 4, 4), (1, 1, 9, 9)]), box_frame(spark, [(2, 2, 3, 3)])
+    assert pairs(join.refined(a, b, F.col("l.max_x") > 5)) == [(1, 0)]
+
+
+def curve(x, y, bits=16):
+    d = 0
+    for s in reversed(range(bits)):
+        rx, ry = x >> s & 1, y >> s & 1
+        d += (3 * rx ^ ry) << 2 * s
+        if not ry:
+            if rx:
+                x, y = (1 << bits) - 1 - x, (1 << bits) - 1 - y
+            x, y = y, x
+    return d
+
+
+def test_hilbert_numbers(spark):
+    cells = [(0, 0), (1, 0), (0, 1), (65535, 0), (65535, 65535), (12345, 54321), (40000, 7)]
+    got = hilbert_steps(spark.createDataFrame(cells, "x long, y long"), "x", "y", "d").collect()
+    assert [r["d"] for r in got] == [curve(*c) for c in cells]
+    assert [r["d"] for r in got[:4]] == [0, 1, 3, 2**32 - 1]
+
+
+@pytest.mark.parametrize("method", ["hilbert", "str"])
+def test_partitions(spark, method):
+    data = box_frame(spark, random_boxes(103, 6), node_size=10)
+    rows = cluster.partitions(data, method).collect()
+    assert sorted(r["id"] for r in rows) == list(range(103))
+    sizes = np.bincount([r["partition_id"] for r in rows])
+    assert sizes.tolist() == [10] * 10 + [3]
+    boxes_of = {r["partition_id"]: r for r in cluster.partition_boxes(data, method).collect()}
+    all_rows = {r["id"]: r for r in data.df.collect()}
+    for p in range(11):
+        own = [all_rows[r["id"]] for r in rows if r["partition_id"] == p]
+        assert boxes_of[p]["min_x"] == min(r["min_x"] for r in own) and boxes_of[p]["max_y"] == max(r["max_y"] for r in own)
+
+
+def test_few_items_stay_in_order(spark):
+    data = box_frame(spark, [(i, i, i + 5, i + 5) for i in range(5)], node_size=2)
+    assert len({r["partition_id"] for r in cluster.partitions(data).collect()}) == 3
+    data = box_frame(spark, [(9 - i, 0, 9 - i, 0) for i in range(5)])
+    assert [r["id"] for r in cluster.boxes_at_level(data, 0).orderBy("pos").collect()] == [0, 1, 2, 3, 4]
+    assert cluster.boxes_at_level(data, 1).count() == 1
+    with pytest.raises(SpatialError):
+        cluster.boxes_at_level(data, 2)
+
+
+def test_flat_and_equal_data(spark):
+    data = box_frame(spark, [(v, 0, v, 0) for v in list(range(40)) * 2], node_size=4)
+    assert cluster.partitions(data).count() == cluster.partitions(data, "str").count() == 80
+    data = box_frame(spark, [(1, 1, 1, 1)] * 40, node_size=4)
+    assert cluster.tree_nodes(data).where("level = 0").count() == 40
+
+
+def test_callers_order(spark):
+    data = box_frame(spark, [(9 - i, 0, 9 - i, 0) for i in range(9)], node_size=2)
+    rows = cluster.packed(data, lambda d: [F.col("min_x")]).orderBy("pos").collect()
+    assert [r["id"] for r in rows] == list(range(8, -1, -1))
+
+
+def test_tree_nodes_hold_their_children(spark):
+    data = box_frame(spark, random_boxes(100, 7))
+    rows = cluster.tree_nodes(data).collect()
+    assert [sum(r["level"] == k for r in rows) for k in range(3)] == [100, 7, 1]
+    by = {(r["level"], r["pos"]): r for r in rows}
+    for r in rows:
+        for c in range(r["child_start"] or 0, r["child_end"] or 0):
+            child = by[r["level"] - 1, c]
+            assert r["min_x"] <= child["min_x"] and r["max_y"] >= child["max_y"]
+
+
+def test_published_sizes():
+    assert meta.RTreeMetadata(25_000).num_bytes == 960_092
+    assert meta.RTreeMetadata(1_000_000, 20).num_bytes == 37_894_796
+    assert meta.RTreeMetadata(3).num_bytes == 144
+    assert meta.RTreeMetadata(100).level_bounds == [400, 428, 432]
+    assert meta.KDTreeMetadata(25_000, 16).num_bytes == 450_008
+    assert meta.KDTreeMetadata(1_000_000).num_bytes == 20_000_008
+    with pytest.raises(SpatialError):
+        meta.RTreeMetadata(3, 1)
+    with pytest.raises(SpatialError):
+        meta.RTreeMetadata(3, coord_type="float16")
+
+
+def test_outward_rounding(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(0, 1, 200) * 10.0 ** rng.integers(-30, 30, 200), [0, 1, -1, 2**-126, 0.1, -0.1, 1 - 2**-30, 1 + 2**-30]])
+    rows = [(v, v, v, v) for v in values]
+    got = meta.f32_boxes(box_frame(spark, rows)).orderBy("id").collect()
+    for v, r in zip(values, got, strict=True):
+        near = np.float32(v)
+        low = near if float(near) <= v else np.nextafter(near, np.float32(-np.inf))
+        high = near if float(near) >= v else np.nextafter(near, np.float32(np.inf))
+        assert (r["min_x"], r["max_y"]) == (float(low), float(high))
+
+
+@pytest.mark.parametrize("local", [200_000, 20])
+def test_kd_tree(spark, local):
+    rng = np.random.default_rng(9)
+    xy = rng.integers(0, 40, (200, 2)).astype(float)
+    data = point_frame(spark, xy, node_size=6)
+    rows = kd.kd_order(data, local).collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and sorted(r["pos"] for r in rows) == list(range(200))
+    by = {r["pos"]: r for r in rows}
+    for r in rows:
+        if r["middle"]:
+            axis, m = "y" if r["depth"] % 2 else "x", r["pos"]
+            assert m == (r["lo"] + r["hi"]) >> 1 and r["hi"] - r["lo"] > 6
+            assert all(by[p][axis] <= r[axis] for p in range(r["lo"], m)) and all(by[p][axis] >= r[axis] for p in range(m + 1, r["hi"] + 1))
+        else:
+            assert r["hi"] - r["lo"] <= 6
+    one = kd.kd_order(data).select("id", "pos").orderBy("id").collect()
+    assert one == kd.kd_order(data, 20).select("id", "pos").orderBy("id").collect()
+    assert kd.kd_nodes(point_frame(spark, [])).count() == 0
+
+
+def test_buffers(spark):
+    rows = random_boxes(100, 10)
+    raw = buffer.encode_rtree(box_frame(spark, rows))
+    assert len(raw) == meta.RTreeMetadata(100).num_bytes and raw[:4] == bytes([0xFB, 3 << 4 | 8, 16, 0])
+    back = buffer.decode_rtree(spark, raw).orderBy("id").collect()
+    assert [(r["min_x"], r["max_y"]) for r in back] == [(r[0], r[3]) for r in rows.tolist()]
+    raw = buffer.encode_kdtree(point_frame(spark, rows[:, :2]))
+    back = buffer.decode_kdtree(spark, raw).orderBy("id").collect()
+    assert [(r["x"], r["y"]) for r in back] == [tuple(r) for r in rows[:, :2].tolist()] and buffer.coord_type_of(raw) == "float64"
+    for bad in (b"", raw[:7], raw[:-1], b"\x00" + raw[1:], raw[:1] + bytes([2 << 4 | 8]) + raw[2:]):
+        with pytest.raises(SpatialError):
+            buffer.decode_kdtree(spark, bad)
+    with pytest.raises(SpatialError):
+        buffer.decode_rtree(spark, raw)
+
+
+def test_clustered_files_answer_alike(spark, tmp_path):
+    from tessera import boxes
+
+    data = box_frame(spark, random_boxes(200, 11))
+    write_clustered(data, str(tmp_path / "c"), 3)
+    again = boxes(spark.read.parquet(str(tmp_path / "c")))
+    assert ids(search.search(again, 100, 100, 400, 400)) == ids(search.search(data, 100, 100, 400, 400))
+
+
+def test_insertion_index(spark):
+    df = spark.createDataFrame([(i * 7 % 31,) for i in range(31)], "id long")
+    assert all(r["id"] == r["insertion_index"] for r in cluster.insertion_index(df).collect())
