@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, worker_cache
 
 #: What white space is to the tokenizer: str.split() would also cut at 0x1C to 0x1F.
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -35,7 +35,7 @@ NO_RANK = np.iinfo(np.int64).max
 #: Outside of this Unicode versions and case rules may differ between libraries.
 ODD = regex.compile(r"[^\x21-\x7e\xa1-\u024f]")
 #: Chunks in one generation of those that a Python worker remembers: 400 MB for both at most.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -193,17 +193,18 @@ def model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-@functools.lru_cache(maxsize=2)
 def id_bytes(path: str) -> "Remembered":
     """One for each Python worker: what a task has met helps the next."""
-    return Remembered(model(path), Bytes())
+    return worker_cache(f"bytes {path}", lambda: Remembered(model(path), Bytes()))
 
 
-@functools.lru_cache(maxsize=1)
 def id_and_token_strings(path: str) -> "Remembered":
-    bpe = model(path)
-    names = [bpe.tokens[i] for i in range(len(bpe.tokens))]
-    return Remembered(bpe, Pairs(Strings([str(i) for i in range(len(names))]), Strings(names)))
+    def make() -> Remembered:
+        bpe = model(path)
+        names = [bpe.tokens[i] for i in range(len(bpe.tokens))]
+        return Remembered(bpe, Pairs(Strings([str(i) for i in range(len(names))]), Strings(names)))
+
+    return worker_cache(f"strings {path}", make)
 
 
 class Remembered(dict):

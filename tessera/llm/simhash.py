@@ -22,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.common import Written, components, small_batches, stretches
@@ -174,36 +173,35 @@ def near_groups(docs: DataFrame, distance: int = 3, blocks: int = 6, width: int
 
 
 def one_of_each(docs: DataFrame, distance: int = 3, blocks: int = 6, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: that of its smallest doc_id.
+    """``docs`` with one row of each group: that of its smallest doc_id, then of the least text mark.
 
-    Texts are shuffled once, by (doc_id, fingerprint); of repeated rows all but one go before that.
-    A group whose rows all have null doc_ids keeps one row of its smallest fingerprint.
+    Rows are known by doc_id and a mark of their text (xxhash64). Texts go through Arrow once and are
+    shuffled once, by that pair; of repeated rows all but one go before the shuffle.
     """
     spark = docs.sparkSession
     small_batches(spark)
     written = Written(spark)
-    marked = written(with_fingerprints(docs, width)).distinct()
-    fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
+    marked = written(given.mapInArrow(functools.partial(marks_and_fingerprints, width), "doc_id long, mark long, fp long"))
+    # of each fingerprint and of each group the smallest id, then the least mark; null ids come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")).alias("first")
+    fps = written(marked.groupBy("fp").agg(first))
     labels = components(fingerprint_links(fps.select("fp"), distance, blocks), written)
     linked = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    # of each group the smallest id, then the smallest fingerprint; null ids come last
-    best = linked.groupBy("label").agg(F.min_by(F.struct("first_id", "fp"), F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("k"))
-    keep = best.select(F.col("k.first_id").alias("__id"), F.col("k.fp").alias("__keep"))
-    whole = with_mark(docs, width)
-    one = whole.withColumn("__row", F.row_number().over(Window.partitionBy("__fp", "__doc").orderBy("__doc"))).where("__row = 1")
-    kept = one.join(keep, (F.col("__fp") == F.col("__keep")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+    keep = written(linked.groupBy("label").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "mark")]))
+    keys = ["__none", "__id", "__mark"]
+    named = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__mark": text_mark()})
+    one = named.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy("__id"))).where("__row = 1")
+    kept = one.join(keep.hint("merge"), keys, "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def with_mark(docs: DataFrame, width: int) -> DataFrame:
-    """docs, __doc (its id as a long) and __fp, with texts passed through Arrow as they are."""
+def text_mark() -> Column:
+    """xxhash64 of the text; a null text is told apart from an empty one."""
+    return F.xxhash64(F.col("text").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column("__text").to_pylist()], np.uint64)
-            keep = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(fps.view(np.int64))], names=[*keep, "__fp"])
 
-    given = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.col("text").cast("string")})
-    schema = T.StructType([f for f in given.schema.fields if f.name != "__text"] + [T.StructField("__fp", T.LongType())])
-    return given.mapInArrow(marks, schema)
+def marks_and_fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
