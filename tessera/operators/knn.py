@@ -43,6 +43,15 @@ def neighbours(data: SpatialFrame, x: float, y: float, k: int | None = None, max
     return top(df.withColumn("distance", m.distance_to_bbox(F.lit(float(x)), F.lit(float(y)), box_columns())), k, max_distance)
 
 
+def neighbours_coord(data: SpatialFrame, coord: tuple[float, float], **how) -> DataFrame:
+    return neighbours(data, *coord, **how)
+
+
+def with_geometry(df: DataFrame, geometries: DataFrame, column: str = "geometry") -> DataFrame:
+    """Rows with the geometry that another table holds under their id; null where it holds none."""
+    return df.join(geometries.select("id", column), "id", "left")
+
+
 def neighbours_geometry(df: DataFrame, query: Column, k: int | None = None, max_distance: float | None = None, metric: str | Metric = "euclidean", column: str = "geometry") -> DataFrame:
     """By the distance between geometries; rows without one are infinitely far."""
     m = metric_of(metric)

@@ -38,3 +38,16 @@ def within(data: SpatialFrame, x: float, y: float, radius: float, ids_only: bool
     """Points at most ``radius`` away; a negative radius is an error."""
     need_points(data)
     return out(data.df.where(within_radius(x, y, radius)), ids_only, ordered)
+
+
+def search_rect(data: SpatialFrame, rect: tuple[float, float, float, float], **how) -> DataFrame:
+    """The same for a box as one value: (min_x, min_y, max_x, max_y)."""
+    return search(data, *rect, **how)
+
+
+def range_rect(data: SpatialFrame, rect: tuple[float, float, float, float], **how) -> DataFrame:
+    return range_search(data, *rect, **how)
+
+
+def within_coord(data: SpatialFrame, coord: tuple[float, float], radius: float, **how) -> DataFrame:
+    return within(data, *coord, radius, **how)

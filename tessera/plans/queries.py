@@ -13,6 +13,7 @@ from tessera.functions.metrics import EARTH, Euclidean, Haversine, box_columns
 from tessera.functions.predicates import axis_dist, bbox_intersects
 from tessera.operators import cluster, join, kd, knn, meta, search
 from tessera.plans.tables import VIEWS, view
+from tessera.sources import buffer
 from tessera.sources.frame import BOX, SpatialFrame, boxes, extent, points
 from tessera.streaming.search import drained, stream_static_join
 
@@ -60,6 +61,16 @@ def boxed(df: DataFrame) -> DataFrame:
     return df.select("id", *[F.round(F.col(f"box.{c}"), 6).alias(c) for c in BOX])
 
 
+def lonlat_points(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "lonlat_customer").select("id", geometry.point(F.col("lon"), F.col("lat")).alias("geometry"))
+
+
+def numbered(data: SpatialFrame) -> SpatialFrame:
+    """The frame with insertion indexes for ids, as buffers hold them."""
+    df = cluster.insertion_index(data.df).drop("id").withColumnRenamed("insertion_index", "id")
+    return SpatialFrame(df.select("id", *data.roles), data.roles, data.node_size)
+
+
 def stream_within(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -113,6 +124,9 @@ def queries() -> dict[str, Query]:
         "f32_box": lambda s, d: meta.f32_boxes(orders(s, d)).select("id", *[F.col(c).cast("double").alias(c) for c in BOX]),
         "extent_agg": lambda s, d: cluster.around(orders(s, d).df, (F.col("id") % 8).alias("part")),
         "geom_bbox": lambda s, d: boxed(shapes(orders(s, d).df).select("id", geometry.bbox(F.col("geometry")).alias("box"))),
+        "knn_geometry_haversine": lambda s, d: ranked(knn.neighbours_geometry(lonlat_points(s, d), geometry.point(*LONLAT), 25, metric="haversine"), 3),
+        "rtree_buffer": lambda s, d: buffer.decode_rtree(s, buffer.encode_rtree(numbered(orders(s, d)))).drop("pos"),
+        "kdtree_buffer": lambda s, d: buffer.decode_kdtree(s, buffer.encode_kdtree(numbered(order_points(s, d)))).drop("pos"),
         "stream_within": stream_within,
         "stream_join": stream_join,
     }
@@ -128,7 +142,7 @@ def with_views(sql: str, *more: str) -> str:
     return "WITH RECURSIVE " + ", ".join([*used, *more]) + " " + sql if used or more else sql
 
 
-def near(k: int | None, most: float | None, distance: str, source: str, digits: int, x: str = "id") -> str:
+def near(k: int | None, most: float | None, distance: str, source: str, digits: int) -> str:
     where = f"WHERE d <= {most}" if most is not None else ""
     limit = f"LIMIT {k}" if k else ""
     return with_views(f"SELECT id, round(d, {digits}) AS distance FROM (SELECT id, {distance} AS d FROM {source}) {where} ORDER BY d, id {limit}")
@@ -270,6 +284,9 @@ def oracle_sql() -> dict[str, str]:
             """SELECT id, round(min_x, 6) AS min_x, round(min_y, 6) AS min_y, round(CASE WHEN id % 3 = 0 THEN min_x ELSE min_x + 2 END, 6) AS max_x,
             round(CASE WHEN id % 3 = 2 THEN min_y + 2 ELSE min_y END, 6) AS max_y FROM boxes_orders"""
         ),
+        "knn_geometry_haversine": near(25, None, HAVERSINE, "lonlat_customer", 3),
+        "rtree_buffer": with_views("SELECT row_number() OVER (ORDER BY id) - 1 AS id, min_x, min_y, max_x, max_y FROM boxes_orders"),
+        "kdtree_buffer": with_views("SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM pts_orders"),
         "stream_within": with_views("SELECT id FROM pts_events WHERE (x - 50) * (x - 50) + (y - 50) * (y - 50) <= 900"),
         "stream_join": with_views('SELECT l.id AS "left", r.id AS "right" FROM pts_events l JOIN boxes_part r ON l.x BETWEEN r.min_x AND r.max_x AND l.y BETWEEN r.min_y AND r.max_y'),
     }

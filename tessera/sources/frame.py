@@ -85,6 +85,17 @@ def points(df: DataFrame, given: str | list[str] = list(POINT), key: str = "id",
     return frame(df, given, POINT, key, node_size, keep)
 
 
+def together(*batches: SpatialFrame) -> SpatialFrame:
+    """Batches of one kind as one frame, as if they had been added one after the other."""
+    first = batches[0]
+    df = first.df
+    for other in batches[1:]:
+        if other.roles != first.roles:
+            raise SpatialError("boxes and points do not mix")
+        df = df.unionByName(other.df)
+    return SpatialFrame(df, first.roles, first.node_size, first.others)
+
+
 def extent(data: SpatialFrame) -> DataFrame:
     """One row: the least box around everything (nulls for an empty frame)."""
     low, high = (data.roles[:2], data.roles[-2:])
