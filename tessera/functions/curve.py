@@ -38,23 +38,23 @@ def hilbert_steps(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
     return df.select(*names, F.col("__d").alias(out))
 
 
-def cell(centre: Column, low: Column, high: Column) -> Column:
+def cell(centre: Column, low: float, high: float) -> Column:
     """A centre's cell along one axis; 0 where the extent has none."""
-    width = high - low
-    return F.when(width > 0, F.floor(F.lit(float(CELLS)) * (centre - low) / width)).otherwise(F.lit(0)).cast("long")
+    if not high > low:
+        return F.lit(0).cast("long")
+    return F.floor(F.lit(float(CELLS)) * (centre - F.lit(low)) / F.lit(high - low)).cast("long")
 
 
 def hilbert_of(data: SpatialFrame) -> DataFrame:
-    """The frame's rows with ``key``: the curve number of their centres. The extent is one row."""
-    flat = data.as_boxes()
-    bounds = extent(data).select(*[F.col(c).alias(f"__{c}") for c in ("min_x", "min_y", "max_x", "max_y")])
+    """The frame's rows with ``key``: the curve number of their centres. The extent is taken first."""
     names = data.df.columns
-    low_x, low_y, high_x, high_y = flat.roles if not data.is_points else ("x", "y", "x", "y")
-    joined = data.df.join(F.broadcast(bounds))
-    cells = joined.withColumns(
+    low_x, low_y, high_x, high_y = ("x", "y", "x", "y") if data.is_points else data.roles
+    box = extent(data).first()
+    bounds = [0.0 if v is None else v for v in box]
+    cells = data.df.withColumns(
         {
-            "__cx": cell((F.col(low_x) + F.col(high_x)) / 2, F.col("__min_x"), F.col("__max_x")),
-            "__cy": cell((F.col(low_y) + F.col(high_y)) / 2, F.col("__min_y"), F.col("__max_y")),
+            "__cx": cell((F.col(low_x) + F.col(high_x)) / 2, bounds[0], bounds[2]),
+            "__cy": cell((F.col(low_y) + F.col(high_y)) / 2, bounds[1], bounds[3]),
         }
     ).select(*names, "__cx", "__cy")
     return hilbert_steps(cells, "__cx", "__cy", "key").drop("__cx", "__cy")
