@@ -41,7 +41,8 @@ def hilbert_steps(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
 def cell(centre: Column, low: float, high: float) -> Column:
     """A centre's cell along one axis; 0 where the extent has none."""
     if not high > low:
-        return F.lit(0).cast("long")
+        # not a constant: folded into the curve's steps it would make the optimizer unroll them
+        return F.floor(centre * F.lit(0.0)).cast("long")
     return F.floor(F.lit(float(CELLS)) * (centre - F.lit(low)) / F.lit(high - low)).cast("long")
 
 
