@@ -99,39 +99,94 @@ def listed(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             )
 
 
-def probed(index: Index, probes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entry, vector -> a row for each list to search."""
+@dataclass
+class Blocks:
+    """Lists dealt to blocks of bounded size: neighbouring lists share one, a large list has several."""
+
+    first: np.ndarray  # of each list
+    parts: np.ndarray
+
+
+def dealt(index: Index, sizes: dict[int, int], most: int) -> Blocks:
+    """Lists in the order of their centres' main direction, cut when a block is full."""
+    centred = index.centers - index.centers.mean(0)
+    main = np.linalg.svd(centred, full_matrices=False)[2][0]
+    first, parts = np.zeros(len(centred), np.int64), np.ones(len(centred), np.int64)
+    block, held = 0, 0
+    for k in np.argsort(centred @ main, kind="stable").tolist():
+        n = sizes.get(k, 0)
+        if held and held + n > most:
+            block, held = block + 1, 0
+        first[k], parts[k] = block, max(1, -(-n // most))
+        held += n
+        if parts[k] > 1:
+            block, held = block + int(parts[k]), 0
+    return Blocks(first, parts)
+
+
+def probed(index: Index, blocks: Blocks, probes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query, vector -> a row for each block to search, with the lists to search in it."""
     for batch in batches:
-        if batch.num_rows:
-            far = squares(matrix(batch.column(1), index.centers.shape[1]), index.centers)
-            near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(far), 1))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+        far = squares(matrix(batch.column(1), index.centers.shape[1]), index.centers) if batch.num_rows else np.empty((0, 1))
+        rows, where, lists = [], [], []
+        for i, row in enumerate(far):
+            near = np.argpartition(row, probes - 1)[:probes] if probes < len(row) else np.arange(len(row))
+            near = near[np.argsort(blocks.first[near], kind="stable")]
+            for part in np.split(near, np.flatnonzero(np.diff(blocks.first[near])) + 1):
+                # a list of several blocks shares none of them
+                for extra in range(int(blocks.parts[part].max())):
+                    rows.append(i)
+                    where.append(int(blocks.first[part[0]]) + extra)
+                    lists.append(part[blocks.parts[part] > extra].astype(np.int32))
+        if rows:
+            at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel().astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "query", "vector"]
+                [pa.array(where, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.list_(pa.int32()))], names=["block", "query", "vector", "lists"]
             )
 
 
 FOUND = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("score", pa.float64())])
 
 
-def search_block(index: Index, keep: int, queries: pa.Table, entries: pa.Table) -> pa.Table:
-    """For each query the best ``keep`` entries of the block by table, with exact distances."""
+def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) -> pa.Table:
+    """For each query the k best entries of the block: the nearest by table, reranked exactly."""
     if not queries.num_rows or not entries.num_rows:
         return FOUND.empty_table()
     width = index.centers.shape[1]
     q = matrix(queries["vector"].combine_chunks(), width)
     x = matrix(entries["vector"].combine_chunks(), width)
     codes = np.frombuffer(b"".join(entries["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
-    rest = q - index.centers[queries["list"][0].as_py()]
     ids, owners = entries["entry"].to_numpy(), queries["query"].to_numpy()
+    asks: dict[int, list[int]] = {}
+    for i, lists in enumerate(queries["lists"].to_pylist()):
+        for one in lists:
+            asks.setdefault(one, []).append(i)
+    candidates: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+    about: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+    own = entries["list"].to_numpy()
+    order = np.argsort(own, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        mine = asks.get(int(own[rows[0]]), [])
+        for at in range(0, len(mine), 64):
+            some = mine[at : at + 64]
+            rest = q[some] - index.centers[own[rows[0]]]
+            far = np.zeros((len(some), len(rows)))
+            for s, (part, book) in enumerate(zip(index.parts, index.books, strict=True)):
+                far += squares(rest[:, part], book)[:, codes[rows, s]]
+            for i, line in zip(some, far, strict=True):
+                candidates[i].append(rows)
+                about[i].append(line)
     out = []
-    for i in range(len(q)):
-        about = np.zeros(len(x))
-        for s, (part, book) in enumerate(zip(index.parts, index.books, strict=True)):
-            about += ((book - rest[i, part]) ** 2).sum(1)[codes[:, s]]
-        best = np.argpartition(about, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
-        exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-        out.append((np.full(len(best), owners[i]), ids[best], exact))
+    for i, found in enumerate(candidates):
+        if found:
+            rows, line = np.concatenate(found), np.concatenate(about[i])
+            if len(rows) > RERANK * k:
+                rows = rows[np.argpartition(line, RERANK * k - 1)[: RERANK * k]]
+            exact = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
+            best = np.lexsort((ids[rows], exact))[:k]
+            out.append((np.full(len(best), owners[i]), ids[rows[best]], exact[best]))
+    if not out:
+        return FOUND.empty_table()
     return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
 
 
@@ -191,18 +246,20 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     )
     asked = written(one.where(F.col("vec_id") % every == 0).join(entries.select("vector", "entry"), "vector").select("vec_id", "entry"))
     queries = asked.select("entry").distinct().join(entries.select("entry", "vector"), "entry")
-    to_lists = written(queries.select("entry", "vector").mapInArrow(functools.partial(probed, index, probes), "list int, query long, vector array<float>"))
-    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).join(
-        to_lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("asks")), "list"
+    sizes = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
+    blocks = dealt(index, sizes, BLOCK)
+    places = [(k, int(blocks.first[k]), int(blocks.parts[k])) for k in sizes]
+    places = F.broadcast(spark.createDataFrame(places, "list int, first long, parts long"))
+    wanted = queries.select(F.col("entry").alias("query"), "vector").mapInArrow(
+        functools.partial(probed, index, blocks, probes), "block long, query long, vector array<float>, lists array<int>"
     )
-    sizes = F.broadcast(sizes)  # a row a list, LISTS at most
-    left = to_lists.join(sizes, "list").withColumn("ask", F.pmod(F.xxhash64("query"), "asks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    right = filed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("entry"), "parts").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
-    left = left.select("list", "part", "ask", "query", "vector")
-    right = right.select("list", "part", "ask", "entry", "codes", "vector")
-    keys = ["list", "part", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        functools.partial(search_block, index, RERANK * k), "query long, entry long, score double"
+    # queries beyond a block's size are dealt to several tasks, each of which sees all entries
+    asks = max(1, math.ceil(queries.count() / BLOCK))
+    left = wanted.withColumn("ask", F.pmod(F.xxhash64("query"), F.lit(asks)))
+    right = filed.join(places, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("entry"), "parts"))
+    right = right.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long")))).select("block", "ask", "list", "entry", "codes", "vector")
+    found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInArrow(
+        lambda queries, entries: search_block(index, k + 1, queries, entries), "query long, entry long, score double"
     )
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
     named = best.join(entries.select("entry", "ids"), "entry").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
