@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ T = TypeVar("T")
 ARROW_ROWS = 1000
 
 
+#: Words whose hashes a Python worker remembers: about 50 MB.
+REMEMBERED = 300_000
+ODD_SPACE = re.compile(r"[^\x09-\x0d\x20-\x7e\xa1-￿]")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
 _CACHE: dict[str, object] = {}
 
 
@@ -52,32 +59,38 @@ class Written:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        _LEFT[path] = self.spark
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
-        atexit.register(remove, self.spark, path)
+        back._written_at = path
         return back
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing will read again."""
-        if path := self.paths.pop(id(df), None):
-            remove(self.spark, path)
-            atexit.unregister(remove)
-            for left in self.paths.values():
-                atexit.register(remove, self.spark, left)
+        if (path := getattr(df, "_written_at", None)) in _LEFT:
+            remove(_LEFT.pop(path), path)
+
+
+#: Tables still there, removed when the driver ends.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit; leftovers are harmless
-        pass
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def remove_all() -> None:
+    for path, spark in _LEFT.items():
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone; what is left is harmless
+            return
 
 
 def stretches(spark: SparkSession) -> int:
@@ -92,7 +105,7 @@ def components(edges: DataFrame, written: Written) -> DataFrame:
     round is two aggregations with map-side combine and two joins, so a node with very many edges
     is split by AQE instead of meeting in one task; nothing is gathered on the driver but a count.
     """
-    cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     seen = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -158,3 +171,21 @@ def refreshed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of docs, with n_chars counted anew where there is such a column."""
     again = F.length(F.col("text")).cast("long")
     return docs.select(*[again.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+
+
+def words_of(text: str) -> list[str]:
+    """Words between the six ASCII spaces, A-Z lower-cased."""
+    if text.isascii():
+        text = text.lower()
+        return WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
+    return WORDS.findall(text.translate(UPPER))
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    known: dict[str, int] = worker_cache("word hashes", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
+    digest = xxhash.xxh64_intdigest
+    for w in set(words).difference(known):
+        known[w] = digest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

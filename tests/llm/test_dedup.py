@@ -43,11 +43,56 @@ def test_near_groups_against_brute_force(spark):
         want.append((i, f"{fps[k]:016x}", min(ids, default=None)))
     got = simhash.near_groups(docs).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def shingles(text, width=5):
+    words = WORD.findall(lower(text or ""))
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = prose(rng, 1)
+    return " ".join(words)
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(9)
+    rows, base = [], [prose(rng, 300) for _ in range(30)]
+    for k, t in enumerate(base):
+        rows += [(10 * k, t, "s"), (10 * k + 1, t, "s"), (10 * k + 2, edited(rng, t, 3), "s"), (10 * k + 3, edited(rng, t, 6), "s")]
+        rows.append((10 * k + 4, edited(rng, t, 40), "s"))  # few shingles in common: another text
+    rows += [rows[0], (None, base[0], "s"), (None, prose(rng, 100), "s"), (5000, None, "s"), (5001, "", "s")]
+    docs = documents(spark, rows)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len(set(group))
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i)) == sorted({w[2] for w in want} - {None}) + [None] * (len(set(group)) - len({w[2] for w in want} - {None}))
-    assert simhash.near_groups(docs.limit(0)).count() == simhash.one_of_each(docs.limit(0)).count() == 0
+    got = sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i or 0))
+    assert got == [i for k in range(30) for i in (10 * k, 10 * k + 4)] + [5000, None]
+    sets = {i: shingles(t) for i, t, _ in rows if i is not None}
+    assert all(jaccard(sets[10 * k], sets[10 * k + j]) >= 0.8 for k in range(30) for j in (2, 3))
+    assert all(jaccard(sets[10 * k], sets[10 * k + 4]) < 0.6 for k in range(30))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_of_the_corpus_are_linked(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() if len(h) < 100 for a in h for b in h if a < b}
+    near = [(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8]
+    assert near and sum(a in kept and b in kept for a, b in near) <= 0.02 * len(near)
+    lone = set(sets) - {i for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.7 for i in p}
+    assert lone <= kept
 
 
 @pytest.mark.parametrize("chunk", [8, 100_000])
