@@ -12,7 +12,6 @@ from tessera.errors import SpatialError
 from tessera.functions import geometry
 from tessera.functions.metrics import Metric, box_columns, metric_of
 from tessera.functions.predicates import bbox_intersects
-from tessera.operators.grid import cell_of
 from tessera.plans.tables import written
 from tessera.sources.frame import BOX, SpatialFrame
 
@@ -64,8 +63,10 @@ def knn_join(queries: SpatialFrame, data: SpatialFrame, k: int) -> DataFrame:
 
     Exact. A round looks up the 3 x 3 cells around each query still open; what lies outside of them is
     at least a cell's side away, so a query whose k-th hit is nearer is done. The next round's cells
-    are four times as wide; the last covers everything, and hits of fewer than k boxes end there. The
-    first width follows from density and mean size; rounds follow from the extent, not from the rows.
+    are four times as wide; the last covers everything, and hits of fewer than k boxes end there. A
+    box larger than a cell is filed at a level of wider cells, so that it lies in four at most; a
+    query looks at every level there is. The first width follows from density and mean size; levels
+    and rounds follow from the extent, not from the rows.
     """
     spark = data.df.sparkSession
     save = written(spark)
@@ -84,20 +85,28 @@ def knn_join(queries: SpatialFrame, data: SpatialFrame, k: int) -> DataFrame:
     span = max(max(shape["x1"], around["x1"]) - x0, max(shape["y1"], around["y1"]) - y0)
     area = max(shape["x1"] - shape["x0"], 1e-12) * max(shape["y1"] - shape["y0"], 1e-12)
     side = max(math.sqrt(area * k / shape["n"]), 2 * shape["side"], span * 2.0**-24, 1e-9)
-    done = None
+    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    wider = F.when(size > side, F.ceil(F.log2(size / side) / 2)).otherwise(0).cast("int")
+    boxes = boxes.withColumn("wider", wider)
+    widths = [r[0] for r in boxes.select("wider").distinct().collect()]  # 13 at most: the first side is 2**-24 of the extent or more
+    done, rounds = None, 0
     left = asked
     while True:
         last = side >= span
-        zero = F.lit(0)
+        level = F.greatest(F.col("wider") - rounds, F.lit(0))
+        now = sorted({max(w - rounds, 0) for w in widths})
+        cell = lambda value: F.floor(value / (F.lit(side) * F.pow(F.lit(4.0), F.col("level")))).cast("long")
         px, py = F.col("qx") - x0, F.col("qy") - y0
-        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        seek = left.withColumn("s", steps).withColumn("cx", cell_of(px, zero, side) + F.col("s.i")).withColumn("cy", cell_of(py, zero, side) + F.col("s.j")).drop("s")
+        steps = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(j).alias("j")) for w in now for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        seek = left.withColumn("s", steps).withColumn("level", F.col("s.w")).withColumn("cx", cell(px) + F.col("s.i")).withColumn("cy", cell(py) + F.col("s.j")).drop("s")
         filed = (
-            boxes.withColumn("cx", F.explode(F.sequence(cell_of(F.col("min_x") - x0, zero, side), cell_of(F.col("max_x") - x0, zero, side))))
-            .withColumn("cy", F.explode(F.sequence(cell_of(F.col("min_y") - y0, zero, side), cell_of(F.col("max_y") - y0, zero, side))))
+            boxes.withColumn("level", level)
+            .withColumn("cx", F.explode(F.sequence(cell(F.col("min_x") - x0), cell(F.col("max_x") - x0))))
+            .withColumn("cy", F.explode(F.sequence(cell(F.col("min_y") - y0), cell(F.col("max_y") - y0))))
+            .drop("wider")
         )
         m = metric_of("euclidean")
-        hits = seek.join(filed, ["cx", "cy"]).withColumn("distance", m.distance_to_bbox(F.col("qx"), F.col("qy"), box_columns()))
+        hits = seek.join(filed, ["level", "cx", "cy"]).withColumn("distance", m.distance_to_bbox(F.col("qx"), F.col("qy"), box_columns()))
         # a box in several of the cells is met in each; its first place is enough
         hits = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
@@ -111,4 +120,4 @@ def knn_join(queries: SpatialFrame, data: SpatialFrame, k: int) -> DataFrame:
         left = save(left.join(closed, "query_id", "left_anti"))
         if left.isEmpty():
             return done
-        side *= 4
+        side, rounds = side * 4, rounds + 1
