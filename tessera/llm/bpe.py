@@ -16,7 +16,6 @@ import functools
 import hashlib
 import itertools
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 NO_RANK = np.iinfo(np.int64).max
 #: Outside of this Unicode versions and case rules may differ between libraries.
 ODD = regex.compile(r"[^\x21-\x7e\xa1-\u024f]")
+UNUSUAL = regex.compile(r"[^\t-\r\x20-\x7e\xa1-\u024f]")
 #: Chunks in one generation of those that a Python worker remembers: 400 MB for both at most.
 REMEMBERED = 500_000
 
@@ -75,6 +75,17 @@ class WordBpe:
         self.normalizer = library.normalizer
         self.splitter = pre_tokenizers.Split(Regex(self.pieces.pattern), "removed", invert=True)
 
+    def rank_pairs(self, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        """Set the ranks of the pairs that begin at ``at``, by binary search over the sorted pair keys."""
+        rank[at] = NO_RANK
+        at = at[at + 1 < len(symbols)]
+        at = at[word[at] == word[at + 1]]
+        keys = symbols[at] * self.base + symbols[at + 1]
+        found = np.searchsorted(self.keys, keys)
+        found[found == len(self.keys)] = 0
+        hit = self.keys[found] == keys
+        rank[at[hit]] = self.ranks[found[hit]]
+
     def words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces (UTF-8, none empty) in one array, and where each piece's begin and the last ends."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -83,24 +94,17 @@ class WordBpe:
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.last[flat[ends]]
         word = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(symbols), NO_RANK)  # of the pair that begins at each symbol
+        self.rank_pairs(symbols, word, rank, np.arange(len(symbols)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            rank = np.full(len(symbols), NO_RANK)  # of the pair that begins here
-            keys = symbols[:-1] * self.base + symbols[1:]
-            at = np.searchsorted(self.keys, keys)
-            at[at == len(self.keys)] = 0
-            hit = np.flatnonzero((self.keys[at] == keys) & (word[:-1] == word[1:]))
-            rank[hit] = self.ranks[at[hit]]
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            best = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.append(starts, len(symbols)))
-            best = np.repeat(best, lengths)
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
             over = best == NO_RANK
             if over.any():
                 done.append((word[over], symbols[over]))
-            merge = (rank == best) & ~over
+            where = np.flatnonzero((rank == best) & ~over)
             # of pairs that overlap, as in a run of one symbol, every second one is merged
-            where = np.flatnonzero(merge)
             if len(where) > 1 and (np.diff(where) == 1).any():
                 fresh = np.concatenate([[True], np.diff(where) != 1])
                 begun = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
@@ -108,7 +112,9 @@ class WordBpe:
             symbols[where] = self.made[rank[where]]
             keep = ~over
             keep[where + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            merged = (np.cumsum(keep) - 1)[where]
+            symbols, word, rank = symbols[keep], word[keep], rank[keep]
+            self.rank_pairs(symbols, word, rank, np.concatenate([merged, merged[merged > 0] - 1]))  # no other pair is new
         if not done:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         owner = np.concatenate([d[0] for d in done])
@@ -119,16 +125,18 @@ class WordBpe:
         if chunk.isascii():
             return [chunk.lower()] if chunk.isalpha() else self.pieces.findall(chunk.lower())
         if not ODD.search(chunk):
-            text = unicodedata.normalize("NFC", chunk).lower()
+            text = chunk.lower()  # these characters are composed already
             return [text] if text.isalpha() else self.pieces.findall(text)
         # beyond common Latin letters the library's own tables say what is a letter
         return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut at white space; special tokens stand alone."""
+        """The text cut at white space; special tokens stand alone. Plain texts are lower-cased whole."""
         if "<|" in text and self.special_at.search(text):
             return [c for i, part in enumerate(self.special_at.split(text)) for c in ([part] if i % 2 else self.chunks(part))]
-        return [c for c in SPACE.split(text) if c] if SEPARATORS.search(text) else text.split()
+        if text.isascii() and not SEPARATORS.search(text) or not UNUSUAL.search(text):
+            return text.lower().split()
+        return [c for c in SPACE.split(text) if c]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces: this vocabulary's file names no decoder."""
@@ -137,7 +145,7 @@ class WordBpe:
     def encode(self, text: str | None) -> np.ndarray:
         known = Remembered(self, Bytes())
         chunks = known.prepare([text])[0]
-        return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
+        return np.frombuffer(b"".join([known.table[c] for c in chunks]), "<u4")
 
 
 class Form:
@@ -207,24 +215,26 @@ def id_and_token_strings(path: str) -> "Remembered":
     return worker_cache(f"strings {path}", make)
 
 
-class Remembered(dict):
-    """Chunks met so far and what ``form`` made of their ids, in two generations of bounded size."""
+class Remembered:
+    """Chunks met so far and what ``form`` made of their ids (``table``), in two generations of bounded size."""
 
     def __init__(self, bpe: WordBpe, form: Form, most: int = REMEMBERED):
-        super().__init__()
-        self.bpe, self.form, self.most, self.old = bpe, form, most, {}
+        self.bpe, self.form, self.most = bpe, form, most
+        self.table: dict = {}  # a plain dict: sets compare with it by lookup
+        self.old: dict = {}
         ids = np.array(list(bpe.special.values()), "<u4")
         self.special = dict(zip(bpe.special, form.of_pieces(ids, list(range(len(ids) + 1))), strict=True))
 
     def prepare(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of each text; all of them can then be looked up."""
+        """The chunks of each text; all of them can then be looked up in the table."""
         lists = [self.bpe.chunks(t or "") for t in texts]
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        if not self:
-            self.update(self.special)
-        met = set().union(*lists).difference(self)
+        if len(self.table) > self.most:
+            self.old = dict(self.table)
+            self.table.clear()
+        if not self.table:
+            self.table.update(self.special)
+        # text by text: a text's own words fit the processor's caches, those of all texts do not
+        met = set().union(*[set(chunks).difference(self.table) for chunks in lists])
         self.learn(met if not self.old else self.recalled(met))
         return lists
 
@@ -235,20 +245,21 @@ class Remembered(dict):
             if (known := self.old.get(c)) is None:
                 new.append(c)
             else:
-                self[c] = known
+                self.table[c] = known
         return new
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Encode chunks. A piece is a chunk whose only piece it is, so pieces are remembered alike."""
+        table = self.table
         cut = {c: self.bpe.pieces_of(c) for c in chunks}
-        every = list({p for ps in cut.values() for p in ps}.difference(self))
+        every = list({p for ps in cut.values() for p in ps}.difference(table))
         flat, at = self.bpe.words([p.encode() for p in every])
-        self.update(zip(every, self.form.of_pieces(flat, at.tolist()), strict=True))
+        table.update(zip(every, self.form.of_pieces(flat, at.tolist()), strict=True))
         for c, ps in cut.items():
             if len(ps) != 1:
-                self[c] = self.form.joined([self[p] for p in ps])
+                table[c] = self.form.joined([table[p] for p in ps])
             elif ps[0] != c:
-                self[c] = self[ps[0]]
+                table[c] = table[ps[0]]
 
 
 def digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,7 @@ def digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         counts, one, two = [], [], []
         for chunks in known.prepare(batch.column(1).to_pylist()):
-            pairs = [known[c] for c in chunks]
+            pairs = [known.table[c] for c in chunks]
             ids = " ".join([p[0] for p in pairs])
             counts.append(ids.count(" ") + 1 if ids else 0)
             one.append(sha(ids.encode()).hexdigest())
@@ -280,7 +291,7 @@ def id_arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     known = id_bytes(path)
     for batch in batches:
         lists = known.prepare(batch.column(1).to_pylist())
-        ids = [np.frombuffer(b"".join([known[c] for c in chunks]), "<i4") for chunks in lists]
+        ids = [np.frombuffer(b"".join([known.table[c] for c in chunks]), "<i4") for chunks in lists]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 

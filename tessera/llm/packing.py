@@ -33,12 +33,13 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 def cut(tokenizer: str, width: int, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole sequences and the remainder of each document."""
     known = bpe.id_bytes(tokenizer)
+    table = known.table
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
         rows: list[tuple] = []
         lists = known.prepare(batch.column(1).to_pylist())
         for doc_id, chunks in zip(batch.column(0).to_pylist(), lists, strict=True):
-            ids = b"".join([known[c] for c in chunks]) + tail
+            ids = b"".join([table[c] for c in chunks]) + tail
             total = len(ids) // 4
             for start in range(0, total, width):
                 part = ids[4 * start : 4 * (start + width)]

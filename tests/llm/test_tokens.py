@@ -36,8 +36,8 @@ def test_memory_of_chunks_is_bounded():
     for _ in range(30):
         words = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(15)]
         (chunks,) = known.prepare([" ".join(words)])
-        assert np.frombuffer(b"".join(known[c] for c in chunks), "<u4").tolist() == bpe.model(PATH).encode(" ".join(words)).tolist()
-        assert len(known) < 60
+        assert np.frombuffer(b"".join(known.table[c] for c in chunks), "<u4").tolist() == bpe.model(PATH).encode(" ".join(words)).tolist()
+        assert len(known.table) < 60
 
 
 def test_digests_and_round_trip(spark, library):
