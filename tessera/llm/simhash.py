@@ -7,6 +7,10 @@ choice is a table, its blocks' bits the key. Distinct fingerprints meet on equal
 by counting differing bits, and what links is written as a spanning forest of each bucket, never as
 all pairs: the buckets are searched breadth first over those not yet reached.
 
+``near_groups`` does so for fingerprints of 64 bits and loses no link. ``one_of_each`` keeps one text of
+each group whose five-word shingles agree to 0.8: too far for exact pigeonhole tables, so wide
+fingerprints meet on any of many equal blocks, and all of their bits verify the spanning links.
+
 Defined cases: null and empty texts and texts without a word have fingerprint zero and link like
 any other; repeated rows share a fingerprint; null doc_ids never become a component's id unless no
 other row is in it (then null); extra columns are not read; an empty table gives no rows.

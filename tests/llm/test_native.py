@@ -9,11 +9,6 @@ from tessera.llm import licenses, lines, rules
 from tests.llm.data import WORD, documents, key, lower, plain
 
 
-def with_duckdb(docs, sql):
-    documents = docs.toPandas()  # noqa: F841  read by name
-    return sorted(duckdb.sql(sql).fetchall(), key=key)
-
-
 def native(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return not re.search("Python|Pandas|Arrow", plan)
