@@ -9,7 +9,8 @@ all pairs: the buckets are searched breadth first over those not yet reached.
 
 ``near_groups`` does so for fingerprints of 64 bits and loses no link. ``one_of_each`` keeps one text of
 each group whose five-word shingles agree to 0.8: too far for exact pigeonhole tables, so wide
-fingerprints meet on any of many equal blocks, and all of their bits verify the spanning links.
+fingerprints meet on any of many equal blocks. Those of a bucket that a first comparison connects are
+searched breadth first on all of their bits, so no link is lost to a spanning forest of mere candidates.
 
 Defined cases: null and empty texts and texts without a word have fingerprint zero and link like
 any other; repeated rows share a fingerprint; null doc_ids never become a component's id unless no
@@ -83,15 +84,21 @@ def masks(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, blocks - distance)]
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning links (by place) of the fingerprints (uint64) that are within distance of each other."""
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ, of fingerprints (uint64) or of rows of several such words."""
+    counts = np.bitwise_count(x ^ y)
+    return counts.sum(-1) if counts.ndim > 1 else counts
+
+
+def forest(fps: np.ndarray, distance: float) -> list[tuple[int, int]]:
+    """Spanning links (by place) of the fingerprints that are within distance of each other."""
     links = []
     rest = np.arange(len(fps))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             one = front.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[one]) <= distance
+            near = differing(fps[rest], fps[one]) <= distance
             if near.any():
                 found = rest[near].tolist()
                 links += [(int(one), f) for f in found]
@@ -104,30 +111,54 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 SMALL = 48
 
 
+def bucket_forest(fps: np.ndarray, cuts: list[tuple[int, int]], distance: float) -> list[tuple[int, int]]:
+    """Spanning links (by place) within each bucket, its rows from one cut to the other."""
+    sizes = np.array([hi - lo for lo, hi in cuts])
+    bucket = np.repeat(np.arange(len(cuts)), sizes)
+    small = np.flatnonzero((sizes <= SMALL)[bucket])
+    links: list[tuple[int, int]] = []
+    step = 1
+    while len(small):  # rows that still have one of their bucket ``step`` rows on
+        small = small[small + step < len(fps)]
+        small = small[bucket[small] == bucket[small + step]]
+        near = small[differing(fps[small], fps[small + step]) <= distance]
+        links += zip(near.tolist(), (near + step).tolist(), strict=True)
+        step += 1
+    links = spanning(links)
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        lo, hi = cuts[k]
+        links += [(lo + x, lo + y) for x, y in forest(fps[lo:hi], distance)]
+    return links
+
+
 def bucket_links(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, i, j, fp, id sorted by bucket (key, i, j) -> a, b: spanning links of each bucket."""
     for rows, cuts in whole_groups(batches, 3):
-        fps, ids = rows["fp"].to_numpy().view(np.uint64), rows["id"].to_numpy()
-        sizes = np.array([hi - lo for lo, hi in cuts])
-        bucket = np.repeat(np.arange(len(cuts)), sizes)
-        small = np.flatnonzero((sizes <= SMALL)[bucket])
-        links: list[tuple[int, int]] = []
-        step = 1
-        while len(small):  # rows that still have one of their bucket ``step`` rows on
-            small = small[small + step < len(fps)]
-            small = small[bucket[small] == bucket[small + step]]
-            near = small[np.bitwise_count(fps[small] ^ fps[small + step]) <= distance]
-            links += zip(near.tolist(), (near + step).tolist(), strict=True)
-            step += 1
-        links = spanning(links)
-        for k in np.flatnonzero(sizes > SMALL).tolist():
-            lo, hi = cuts[k]
-            links += [(lo + x, lo + y) for x, y in forest(fps[lo:hi], distance)]
+        ids = rows["id"].to_numpy()
+        links = bucket_forest(rows["fp"].to_numpy().view(np.uint64), cuts, distance)
         if links:
             pairs = np.array(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
 
+def bucket_groups(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, i, j, fp, id sorted by bucket -> group, id: what links connect in each bucket. A group is
+    named by its ids, so that equal groups of several buckets are one."""
+    for rows, cuts in whole_groups(batches, 3):
+        ids = rows["id"].to_numpy()
+        member: dict[int, list[int]] = {}
+        for a, b in bucket_forest(rows["fp"].to_numpy().view(np.uint64), cuts, distance):
+            one, other = member.setdefault(a, [a]), member.setdefault(b, [b])
+            if len(one) < len(other):
+                one, other = other, one
+            one += other
+            member.update(dict.fromkeys(other, one))
+        groups = [np.sort(ids[g]) for g in {id(g): g for g in member.values()}.values()]
+        if groups:
+            names = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in groups], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in groups])), pa.array(np.concatenate(groups))], names=["group", "id"])
+
+
 def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The links without those between rows that earlier ones connect."""
     above: dict[int, int] = {}
@@ -150,12 +181,12 @@ def fingerprint_links(fps: DataFrame, distance: int, blocks: int, chunk: int = C
     """a, b (fingerprints as longs): links that connect all that are within distance."""
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(masks(distance, blocks))]
     keyed = fps.select("fp", F.explode(F.array(*tables)).alias("x")).select(F.xxhash64("x.t", "x.k").alias("key"), "fp", F.col("fp").alias("id"))
-    return links_within(keyed, distance, chunk)
+    return buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, distance), "a long, b long")
 
 
-def links_within(keyed: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
-    """a, b (ids): spanning links within each bucket of ``keyed`` (key, fp, id; a fingerprint or an id
-    comes once in a bucket).
+def buckets(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """key, i, j, fp, id: the rows of ``keyed`` (key, fp, id; a fingerprint or an id comes once in a
+    bucket) sorted by bucket, each whole in one partition.
 
     A bucket beyond ``chunk`` rows is dealt into chunks by hash, and every two chunks meet in a
     bucket of their own, so no task holds more than about two chunks and no pair is missed. Such
@@ -167,8 +198,7 @@ def links_within(keyed: DataFrame, distance: int, chunk: int = CHUNK) -> DataFra
     met = keyed.join(large, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / F.lit(chunk)), F.lit(1)).cast("long"))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id")
-    dealt = met.repartition(stretches(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(functools.partial(bucket_links, distance), "a long, b long")
+    return met.repartition(stretches(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_groups(docs: DataFrame, distance: int = 3, blocks: int = 6, width: int = 3) -> DataFrame:
@@ -259,21 +289,27 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(fps), pa.array(ids)], names=["key", "fp", "id"])
 
 
-def verified(differ: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for n in ("x", "y"))
-            near = np.bitwise_count(x ^ y).sum(1) <= differ * BITS_WIDE
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
+def group_links(differ: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group, id, bits sorted by group -> a, b: spanning links of each group by all bits."""
+    for rows, cuts in whole_groups(batches, 1):
+        ids = rows["id"].to_numpy()
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        links = bucket_forest(bits, cuts, differ * BITS_WIDE)
+        if links:
+            pairs = np.array(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
 
-def similar_links(wide: DataFrame, differ: float = DIFFER) -> DataFrame:
+def similar_links(wide: DataFrame, differ: float = DIFFER, chunk: int = CHUNK) -> DataFrame:
     """a, b (ids): links between wide fingerprints of which a share of at most ``differ`` bits differs.
 
-    Two that share the bits of any of BLOCKS blocks meet; a bucket's spanning links by the first 64
-    bits are candidates, which all bits then verify. Links grow with the rows, not with their square.
+    Two that share the bits of any of BLOCKS blocks meet. Those that the first 64 bits connect in a
+    bucket are a group of candidates; only links that all bits verify span it, since a forest of the
+    candidates could pass by a true link. Rows of groups and links grow with the rows, not their square.
     """
-    found = links_within(wide.mapInArrow(block_rows, "key long, fp long, id long"), NEAR_64)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, other = (wide.select(F.col("id").alias(i), F.col("bits").alias(n)) for i, n in (("a", "x"), ("b", "y")))
-    return found.join(one, "a").join(other, "b").mapInArrow(functools.partial(verified, differ), "a long, b long")
+    spark = wide.sparkSession
+    keyed = wide.mapInArrow(block_rows, "key long, fp long, id long")
+    groups = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_groups, NEAR_64), "group long, id long").distinct()
+    met = groups.join(wide.select("id", "bits"), "id").select("group", "id", "bits")
+    dealt = met.repartition(stretches(spark), "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(functools.partial(group_links, differ), "a long, b long").distinct()

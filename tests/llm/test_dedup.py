@@ -80,6 +80,35 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_copies_of_one_text_edited_apart_all_go(spark):
+    rng = random.Random(19)
+    base = prose(rng, 300)
+    rows = [(0, base, "s")] + [(k, edited(rng, base, 6), "s") for k in range(1, 401)]
+    sets = [shingles(t) for _, t, _ in rows]
+    assert all(jaccard(sets[0], s) >= 0.8 for s in sets[1:]) and jaccard(sets[1], sets[2]) < 0.8
+    assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, rows)).collect()] == [0]
+
+
+@pytest.mark.parametrize("chunk", [8, 100_000])
+def test_wide_links_of_crowded_buckets_lose_none(spark, chunk):
+    rng = random.Random(20)
+    base = prose(rng, 300)
+    texts = [base] + [edited(rng, base, rng.randint(4, 12)) for _ in range(80)]
+    raw = [np.packbits(simhash.wide_bits(t), bitorder="little").tobytes() for t in texts]
+    bits = [int.from_bytes(b, "little") for b in raw]
+    near = [(i, j) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= simhash.DIFFER * simhash.BITS_WIDE]
+
+    def meet(i, j):
+        x = bits[i] ^ bits[j]
+        blocks = (x >> 64 + simhash.BLOCK_BITS * k & (1 << simhash.BLOCK_BITS) - 1 for k in range(simhash.BLOCKS))
+        return (x & (1 << 64) - 1).bit_count() <= simhash.NEAR_64 and 0 in blocks
+
+    want = groups_of(len(bits), [p for p in near if meet(*p)])
+    links = [(r["a"], r["b"]) for r in simhash.similar_links(spark.createDataFrame(list(enumerate(raw)), "id long, bits binary"), chunk=chunk).collect()]
+    assert {(max(p), min(p)) for p in links} <= set(near)
+    assert groups_of(len(bits), links) == want
+
+
 def test_similar_texts_of_the_corpus_are_linked(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
