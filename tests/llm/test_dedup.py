@@ -209,6 +209,39 @@ def test_passages(spark):
     assert all(len(left[i].split()) == 90 for i in range(1, 40)) and len(left[51].split()) <= 22
 
 
+def covered(spark, pairs, **limits):
+    """For each pair of texts, the words of the second that passages shared with the first cover."""
+    rows = [(2 * k + s, t, "s") for k, pair in enumerate(pairs) for s, t in enumerate(pair)]
+    found = [set() for _ in pairs]
+    for r in substrings.passages(documents(spark, rows), **limits).collect():
+        if r["source_id"] == r["doc_id"] - 1 and r["doc_id"] % 2:
+            found[r["doc_id"] // 2].update(range(r["start_word"], r["end_word"]))
+    return found
+
+
+def test_passages_at_a_distance_are_told_apart(spark):
+    rng = random.Random(21)
+    shapes = [(80, 70, 80), (80, 100, 80), (80, 120, 80), (100, 100, 100), (200, 150, 200), (60, 60, 60)]
+    pairs = []
+    for one, gap, two in shapes:
+        a, b = prose(rng, one), prose(rng, two)
+        pairs.append(tuple(f"{prose(rng, 30)} {a} {prose(rng, gap)} {b} {prose(rng, 30)}" for _ in range(2)))
+    a, b = prose(rng, 200), prose(rng, 200)
+    pairs.append((f"{a} {b}", f"{a} {prose(rng, 150)} {b}"))
+    shared = [{*range(30, 30 + one), *range(30 + one + gap, 30 + one + gap + two)} for one, gap, two in shapes]
+    shared.append({*range(200), *range(350, 550)})
+    for got, want in zip(covered(spark, pairs), shared, strict=True):
+        assert want <= got and len(got) <= len(want) + 45
+
+
+def test_an_exact_part_of_a_failing_chain_is_found():
+    rng = random.Random(22)
+    same = prose(rng, 60).split()
+    x, y = (w + [u for _ in range(20) for u in [*prose(rng, 4).split(), "and", "so", "it", "went"]] for w in (list(same), list(same)))
+    found = substrings.parts(x, y, [(10, 10, 30)], 50, 0.8)
+    assert len(found) == 1 and found[0][0] == found[0][2] == 0 and found[0][1] >= 60 and found[0][4] >= 0.8 * found[0][1]
+
+
 def test_troublesome_documents(spark):
     docs = documents(spark)
     got = substrings.passages(docs).collect()
