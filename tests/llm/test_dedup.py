@@ -234,6 +234,17 @@ def test_passages_at_a_distance_are_told_apart(spark):
         assert want <= got and len(got) <= len(want) + 45
 
 
+def test_a_passage_whose_sentences_others_hold_is_found(spark):
+    rng = random.Random(23)
+    rows = []
+    for k in range(20):
+        one, two = prose(rng, 45), prose(rng, 45)
+        held = [one, two, f"{one} {two}", f"{one} {two}", one, two]
+        rows += [(10 * k + i, f"{prose(rng, 30)} {t} {prose(rng, 30)}", "s") for i, t in enumerate(held)]
+    got = {(r["doc_id"], r["source_id"]): (r["start_word"], r["end_word"]) for r in substrings.passages(documents(spark, rows)).collect()}
+    assert got == {(10 * k + 3, 10 * k + 2): (30, 120) for k in range(20)}
+
+
 def test_an_exact_part_of_a_failing_chain_is_found():
     rng = random.Random(22)
     same = prose(rng, 60).split()
