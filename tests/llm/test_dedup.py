@@ -245,6 +245,20 @@ def test_a_passage_whose_sentences_others_hold_is_found(spark):
     assert got == {(10 * k + 3, 10 * k + 2): (30, 120) for k in range(20)}
 
 
+def test_shared_text_of_a_repeated_line_is_found(spark):
+    rng = random.Random(24)
+    pairs = []
+    for period in (1, 2, 3, 4, 5, 6, 8, 10):
+        for _ in range(5):
+            run = " ".join((prose(rng, period).split() * 90)[:90])
+            pairs.append(tuple(f"{prose(rng, rng.randint(20, 60))} {run} {prose(rng, 40)}" for _ in range(2)))
+    # the line also stands alone before: in the first text, in the second
+    line, rest = prose(rng, 12), prose(rng, 80)
+    pairs += [(f"{line} {prose(rng, 90)} {line} {rest}", f"{prose(rng, 30)} {line} {rest}"), (f"{prose(rng, 30)} {line} {rest}", f"{line} {prose(rng, 90)} {line} {rest}")]
+    got = covered(spark, pairs)
+    assert all(len(c) >= 78 for c in got)
+
+
 def test_an_exact_part_of_a_failing_chain_is_found():
     rng = random.Random(22)
     same = prose(rng, 60).split()
