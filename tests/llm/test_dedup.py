@@ -259,6 +259,20 @@ def test_shared_text_of_a_repeated_line_is_found(spark):
     assert all(len(c) >= 78 for c in got)
 
 
+def test_most_passages_with_every_fifth_word_changed_are_found(spark):
+    rng = random.Random(25)
+
+    def changed(n, places):
+        words = prose(rng, n).split()
+        other = [prose(rng, 1) + "x" if k in places else w for k, w in enumerate(words)]
+        return tuple(f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}" for w in (words, other))
+
+    fifth = [changed(200, set(range(4, 200, 5))) for _ in range(40)]
+    anywhere = [changed(100, set(rng.sample(range(100), 20))) for _ in range(40)]
+    got = covered(spark, fifth + anywhere)
+    assert sum(len(c) >= 100 for c in got[:40]) >= 30 and sum(len(c) >= 50 for c in got[40:]) >= 30
+
+
 def test_an_exact_part_of_a_failing_chain_is_found():
     rng = random.Random(22)
     same = prose(rng, 60).split()
