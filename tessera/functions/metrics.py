@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -14,7 +15,8 @@ MIN_X, MIN_Y, MAX_X, MAX_Y = "min_x", "min_y", "max_x", "max_y"
 
 
 class Metric(Protocol):
-    """What a caller's own metric must have; ``box_bound`` may return None where no box bounds it."""
+    """What a caller's own metric must have. It may also have ``max_distance()``, the bound and the
+    distance of a missing geometry where the caller gives none (else: infinite)."""
 
     def distance(self, x1: Column, y1: Column, x2: Column, y2: Column) -> Column: ...
 
@@ -22,8 +24,9 @@ class Metric(Protocol):
 
     def distance_to_geometry(self, one: Column, other: Column) -> Column: ...
 
-    def reach(self, most: float) -> float | None:
-        """Planar distance beyond which nothing is within ``most``."""
+    def reach(self, most: float) -> float | tuple[float, float] | None:
+        """Distance along either axis, or along x and y, beyond which nothing is within ``most``;
+        None where no box bounds it."""
         ...
 
 
@@ -92,8 +95,9 @@ class Haversine:
         a, b = F.coalesce(geometry.centroid(one), zero), F.coalesce(geometry.centroid(other), zero)
         return self.distance(a["x"], a["y"], b["x"], b["y"])
 
-    def reach(self, most: float) -> float | None:
-        return None
+    def reach(self, most: float) -> float | tuple[float, float] | None:
+        """A great circle is no shorter than its difference of latitudes; longitudes bound nothing."""
+        return math.inf, math.degrees(max(most, 0.0) / self.radius) * (1 + 1e-9)
 
 
 METRICS = {"planar_sq": PlanarSquared, "euclidean": Euclidean, "haversine": Haversine}

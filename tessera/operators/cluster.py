@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import SpatialError
 from tessera.functions.curve import hilbert_of
-from tessera.plans.tables import written
+from tessera.plans.tables import Written
 from tessera.sources.frame import BOX, SpatialFrame
 
 
@@ -21,7 +21,7 @@ def positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     partition; then the partitions' counts (one row each) give every partition's first place.
     """
     spark = df.sparkSession
-    save = written(spark)
+    save = Written(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     laid = save(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
@@ -109,7 +109,7 @@ def tree_nodes(data: SpatialFrame, method: str = "hilbert") -> DataFrame:
     """
     from tessera.operators.meta import level_sizes
 
-    save = written(data.df.sparkSession)
+    save = Written(data.df.sparkSession)
     rows = save(packed(data, method).select("pos", *BOX, "id"))
     sizes = level_sizes(rows.count(), data.node_size)
     none = F.lit(None).cast("long")
@@ -126,3 +126,21 @@ def tree_nodes(data: SpatialFrame, method: str = "hilbert") -> DataFrame:
     return out
 
 
+
+
+def root(nodes: DataFrame) -> DataFrame:
+    """Of the rows of ``tree_nodes`` the one at the top; none for an empty tree."""
+    return nodes.orderBy(F.desc("level"), "pos").limit(1)
+
+
+def is_leaf() -> Column:
+    """Whether a row of ``tree_nodes`` is an item, which has an id and no children."""
+    return F.col("level") == 0
+
+
+def children(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """The rows of ``tree_nodes`` that are children of some of them, with ``parent_pos``: an equality
+    join on (level, pos). Items have none."""
+    below = F.sequence(F.col("child_start"), F.col("child_end") - 1)
+    keys = parents.where(~is_leaf()).select((F.col("level") - 1).alias("level"), F.explode(below).alias("pos"), F.col("pos").alias("parent_pos"))
+    return nodes.join(keys, ["level", "pos"])

@@ -5,70 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import SpatialError
 from tessera.functions.predicates import bboxes_intersect
 from tessera.operators import grid
-from tessera.sources.frame import BOX, SpatialFrame
+from tessera.plans.tables import Written
+from tessera.sources.frame import BOX, SpatialFrame, unused
 
 
 def plain(data: SpatialFrame) -> DataFrame:
     return data.as_boxes().df.select("id", *BOX)
 
 
-def upright(df: DataFrame, side: str) -> DataFrame:
-    bad = df.where((F.col("min_x") > F.col("max_x")) | (F.col("min_y") > F.col("max_y"))).limit(1).count()
-    if bad:
-        raise SpatialError(f"the {side} side of a join holds inverted boxes")
-    return df
+def prepared(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, int, list[int], list[int]]:
+    """Both sides with finite boxes, the base of their grid and the levels of each: one pass a side."""
+    one, other = grid.upright(grid.sizes_of(a), "left"), grid.upright(grid.sizes_of(b), "right")
+    if one.endless or other.endless:
+        a, b = grid.within_extent(a, one, other), grid.within_extent(b, one, other)
+        one, other = grid.sizes_of(a), grid.sizes_of(b)
+    base = grid.base_of(one, other)
+    return a, b, base, one.levels(base), other.levels(base)
 
 
-def tree_join(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
-    """left, right: ids of every pair of boxes that meet (closed), each once; a frame joined with
-    itself gives (i, i) and both (i, j) and (j, i).
+def same_cell():
+    return (F.col("l.level") == F.col("r.level")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & bboxes_intersect("l", "r")
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows l and r (structs of the sides' columns, which hold a box each) of every pair that meets.
 
     A pair is found at the level of its larger box: there either box covers four cells at most, so
     one equality join on (level, cell) finds all pairs whatever the mix of sizes, and the cell that
-    holds the corner of the common part emits it. A crowded cell is a skewed key, which AQE splits.
+    holds the corner of the common part emits it. A box is filed once for each level of the other
+    side that is wider than its own. A crowded cell is a skewed key, which AQE splits.
     """
-    a, b = upright(plain(left), "left"), upright(plain(right), "right")
-    base = grid.base_side(a, b)
-    a, b = a.withColumn("level", grid.box_level(base)), b.withColumn("level", grid.box_level(base))
-    levels = sorted({*grid.levels_present(a), *grid.levels_present(b)})
-    if not levels:
-        return a.select(F.col("id").alias("left")).join(b.select(F.col("id").alias("right")), F.lit(False))
-
-    def at(df: DataFrame, own: bool, above: bool) -> DataFrame:
-        """Cells at its own level, and at the larger ones that the other side has."""
-        if own and not above:
-            return grid.with_cells(df, base)
-        more = F.array(*[F.lit(v) for v in levels])
-        found = F.filter(more, lambda v: (v >= F.col("level")) if own else (v > F.col("level")))
-        return grid.with_cells(df.withColumn("level", F.explode(found)), base)
+    names_a, names_b = a.columns, b.columns
+    a, b, base, levels_a, levels_b = prepared(a, b)
 
     def met(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
-        size = F.lit(base) * F.pow(F.lit(2.0), F.col("l.level"))
+        size = grid.width(F.col("l.level"), base)
         corner = (F.floor(F.greatest("l.min_x", "r.min_x") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.min_y", "r.min_y") / size) == F.col("l.cy"))
-        keys = (F.col("l.level") == F.col("r.level")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
-        pairs = l.alias("l").join(r.alias("r"), keys & bboxes_intersect("l", "r") & corner)
-        return pairs.select(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
+        pairs = l.alias("l").join(r.alias("r"), same_cell() & corner)
+        return pairs.select(F.struct(*[F.col(f"l.`{c}`") for c in names_a]).alias("l"), F.struct(*[F.col(f"r.`{c}`") for c in names_b]).alias("r"))
 
     # the left box is the larger or of the same level, then the right one is larger
-    return met(at(a, True, False), at(b, True, True)).unionByName(met(at(a, False, True), at(b, True, False)))
+    return met(grid.filed(a, base), grid.filed(b, base, levels_a)).unionByName(met(grid.filed(a, base, levels_b, above=True), grid.filed(b, base)))
+
+
+def tree_join(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
+    """left, right: ids of every pair of boxes that meet (closed), each once; a frame joined with
+    itself gives (i, i) and both (i, j) and (j, i).
+
+    Inverted boxes are an error; infinite coordinates meet what they reach; a null id is paired like
+    any other. The boxes' sizes are counted (one job a side) when this is called.
+    """
+    return candidates(plain(left), plain(right)).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
+
+
+def parted(left: SpatialFrame, right: SpatialFrame, how: str) -> DataFrame:
+    """Rows of the left frame are numbered in a written table, so neither null nor equal ids matter;
+    a semi join on cells then marks numbers, and no pair is ever formed."""
+    row = unused("row", left.df.columns)
+    numbered = Written(left.df.sparkSession)(left.df.withColumn(row, F.monotonically_increasing_id()))
+    low_x, low_y, high_x, high_y = ("x", "y", "x", "y") if left.is_points else left.roles
+    own = numbered.select(F.col(row).alias("id"), *[F.col(c).alias(n) for c, n in zip((low_x, low_y, high_x, high_y), BOX, strict=True)])
+    a, b, base, levels_a, levels_b = prepared(own, plain(right))
+    sides = ((grid.filed(a, base), grid.filed(b, base, levels_a)), (grid.filed(a, base, levels_b, above=True), grid.filed(b, base)))
+    hits = [l.alias("l").join(r.alias("r"), same_cell(), "left_semi").select(F.col("id").alias(row)) for l, r in sides]  # noqa: E741
+    return numbered.join(hits[0].unionByName(hits[1]).distinct(), row, how).drop(row)
 
 
 def semi(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
     """Rows of the left frame that meet some box of the right."""
-    hits = tree_join(left, right).select(F.col("left").alias("id")).distinct()
-    return left.df.join(hits, "id", "left_semi")
+    return parted(left, right, "left_semi")
 
 
 def anti(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
-    hits = tree_join(left, right).select(F.col("left").alias("id")).distinct()
-    return left.df.join(hits, "id", "left_anti")
+    """Rows of the left frame that meet no box of the right."""
+    return parted(left, right, "left_anti")
 
 
 def refined(left: SpatialFrame, right: SpatialFrame, condition) -> DataFrame:
-    """Candidate pairs that an exact condition on both rows (aliases l and r) confirms."""
+    """Candidate pairs that an exact condition on both rows (aliases l and r) confirms; rows are
+    found again by id, so those without one are not."""
     pairs = tree_join(left, right)
     return (
         pairs.join(left.df.alias("l"), F.col("left") == F.col("l.id"))

@@ -1,4 +1,4 @@
-"""Nearest neighbours: of one point (a top-k), and of many (rounds over ever wider grids)."""
+"""Nearest neighbours: of one point (a top-k), and of many (a join within radii that follow density)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from tessera.errors import SpatialError
 from tessera.functions import geometry
 from tessera.functions.metrics import Metric, box_columns, metric_of
 from tessera.functions.predicates import bbox_intersects
-from tessera.plans.tables import written
+from tessera.operators import grid
+from tessera.operators.join import candidates
+from tessera.plans.tables import Written
 from tessera.sources.frame import BOX, SpatialFrame
 
 
@@ -29,19 +31,43 @@ def top(df: DataFrame, k: int | None, most: float | None) -> DataFrame:
 def neighbours(data: SpatialFrame, x: float, y: float, k: int | None = None, max_distance: float | None = None, metric: str | Metric = "planar_sq") -> DataFrame:
     """The frame's columns and ``distance``, nearest first, ties by id.
 
-    With the planar metrics ``max_distance`` also becomes a box that reaches the scan. Under
-    ``planar_sq`` it bounds the square itself.
+    ``max_distance`` also becomes a box that reaches the scan, under haversine a band of latitudes.
+    Under ``planar_sq`` it bounds the square itself. Without it the metric's own bound counts.
     """
     m = metric_of(metric)
-    boxes = data.as_boxes()
-    df = boxes.df
-    reach = m.reach(max_distance) if max_distance is not None else None
-    if reach is not None:
-        wide = reach * (1 + 1e-9) + 1e-9 * (abs(x) + abs(y)) * 1e-6
-        df = df.where(bbox_intersects(x - wide, y - wide, x + wide, y + wide))
+    max_distance = bound_of(m, max_distance)
+    df = data.as_boxes().df
+    if max_distance is not None and (reach := reach_of(m, y, max_distance)) is not None:
+        df = df.where(reach_filter(x, y, *reach))
     return top(df.withColumn("distance", m.distance_to_bbox(F.lit(float(x)), F.lit(float(y)), box_columns())), k, max_distance)
 
 
+def bound_of(metric: Metric, most: float | None) -> float | None:
+    """The caller's bound, or else the metric's own if it has a finite one."""
+    if most is not None:
+        return most
+    own = getattr(metric, "max_distance", lambda: math.inf)()
+    return None if own == math.inf else own
+
+
+def reach_of(metric: Metric, y: float, most: float) -> tuple[float, float] | None:
+    """How far along x and along y anything within ``most`` can be; None where nothing is known."""
+    found = metric.reach(most)
+    if found is None or isinstance(found, tuple):
+        # a bound along the meridian holds between the poles only
+        return found if found is None or abs(y) <= 90 else None
+    return found, found
+
+
+def reach_filter(x: float, y: float, rx: float, ry: float) -> Column:
+    """A box that reaches the scan; without a bound along x it is a band of latitudes."""
+    wide = lambda r: r * (1 + 1e-9) + (abs(x) + abs(y)) * 1e-15
+    if rx == math.inf:
+        beyond = (F.col("min_y") < -90) | (F.col("max_y") > 90)
+        return beyond | ((F.col("min_y") <= F.lit(y + wide(ry))) & (F.col("max_y") >= F.lit(y - wide(ry))))
+    return bbox_intersects(x - wide(rx), y - wide(ry), x + wide(rx), y + wide(ry))
+
+
 def neighbours_coord(data: SpatialFrame, coord: tuple[float, float], **how) -> DataFrame:
     return neighbours(data, *coord, **how)
 
@@ -52,72 +78,73 @@ def with_geometry(df: DataFrame, geometries: DataFrame, column: str = "geometry"
 
 
 def neighbours_geometry(df: DataFrame, query: Column, k: int | None = None, max_distance: float | None = None, metric: str | Metric = "euclidean", column: str = "geometry") -> DataFrame:
-    """By the distance between geometries; rows without one are infinitely far."""
+    """By the distance between geometries; rows without one are as far as the metric goes."""
     m = metric_of(metric)
-    far = F.coalesce(m.distance_to_geometry(F.col(column), query), F.lit(math.inf))
+    own = getattr(m, "max_distance", lambda: math.inf)()
+    far = F.coalesce(m.distance_to_geometry(F.col(column), query), F.lit(own))
     return top(df.withColumn("distance", far), k, max_distance)
 
 
-def knn_join(queries: SpatialFrame, data: SpatialFrame, k: int) -> DataFrame:
+#: Halvings of the extent down to the finest cells in which boxes are counted.
+FINEST = 20
+#: Down to here the cells are few enough (5,461) to send them to all executors.
+COARSE = 6
+
+
+def knn_join(queries: SpatialFrame, data: SpatialFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """query_id, rank, id, distance: for every query point its k nearest boxes (Euclidean), ties by id.
 
-    Exact. A round looks up the 3 x 3 cells around each query still open; what lies outside of them is
-    at least a cell's side away, so a query whose k-th hit is nearer is done. The next round's cells
-    are four times as wide; the last covers everything, and hits of fewer than k boxes end there. A
-    box larger than a cell is filed at a level of wider cells, so that it lies in four at most; a
-    query looks at every level there is. The first width follows from density and mean size; levels
-    and rounds follow from the extent, not from the rows.
+    Exact, in three steps. Boxes are counted in cells of every size, from the whole extent to a
+    millionth of its side (one aggregation with map-side combine). A query's radius is the diagonal
+    of the smallest cell around it that holds k boxes: its k nearest are no farther, whatever the
+    density where it lies. Then the squares of that radius meet the boxes in a join on the grid, and
+    a top-k follows. Equal queries are asked once, and of equal boxes the k smallest ids are enough,
+    so a point shared by a third of all rows is one query or k boxes.
+
+    Fewer than k boxes give all; ``max_distance`` is a bound (closed). Infinite coordinates are
+    refused, as are inverted boxes. The extents are taken (one job a side) when this is called.
     """
+    if k < 1:
+        raise SpatialError("k is at least 1")
     spark = data.df.sparkSession
-    save = written(spark)
+    save = Written(spark)
+    given = queries.df.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    points = given.select("qx", "qy").distinct()
+    alike = Window.partitionBy(*BOX).orderBy("id")
     boxes = data.as_boxes().df.select("id", *BOX)
-    asked = queries.df.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    shape = boxes.agg(
-        F.count("*").alias("n"), F.min("min_x").alias("x0"), F.min("min_y").alias("y0"), F.max("max_x").alias("x1"), F.max("max_y").alias("y1"),
-        F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))).alias("side"),
-    ).first()
-    around = asked.agg(F.min("qx").alias("x0"), F.min("qy").alias("y0"), F.max("qx").alias("x1"), F.max("qy").alias("y1")).first()
-    columns = ["query_id", "rank", "id", "distance"]
-    empty = spark.createDataFrame([], asked.select("query_id", F.lit(0).alias("rank")).join(boxes.select("id", F.lit(0.0).alias("distance"))).schema)
-    if not shape["n"] or around["x0"] is None:
-        return empty.select(*columns)
-    x0, y0 = min(shape["x0"], around["x0"]), min(shape["y0"], around["y0"])
-    span = max(max(shape["x1"], around["x1"]) - x0, max(shape["y1"], around["y1"]) - y0)
-    area = max(shape["x1"] - shape["x0"], 1e-12) * max(shape["y1"] - shape["y0"], 1e-12)
-    side = max(math.sqrt(area * k / shape["n"]), 2 * shape["side"], span * 2.0**-24, 1e-9)
-    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    wider = F.when(size > side, F.ceil(F.log2(size / side) / 2)).otherwise(0).cast("int")
-    boxes = boxes.withColumn("wider", wider)
-    widths = [r[0] for r in boxes.select("wider").distinct().collect()]  # 13 at most: the first side is 2**-24 of the extent or more
-    done, rounds = None, 0
-    left = asked
-    while True:
-        last = side >= span
-        level = F.greatest(F.col("wider") - rounds, F.lit(0))
-        now = sorted({max(w - rounds, 0) for w in widths})
-        cell = lambda value: F.floor(value / (F.lit(side) * F.pow(F.lit(4.0), F.col("level")))).cast("long")
-        px, py = F.col("qx") - x0, F.col("qy") - y0
-        steps = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(j).alias("j")) for w in now for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        seek = left.withColumn("s", steps).withColumn("level", F.col("s.w")).withColumn("cx", cell(px) + F.col("s.i")).withColumn("cy", cell(py) + F.col("s.j")).drop("s")
-        filed = (
-            boxes.withColumn("level", level)
-            .withColumn("cx", F.explode(F.sequence(cell(F.col("min_x") - x0), cell(F.col("max_x") - x0))))
-            .withColumn("cy", F.explode(F.sequence(cell(F.col("min_y") - y0), cell(F.col("max_y") - y0))))
-            .drop("wider")
-        )
-        m = metric_of("euclidean")
-        hits = seek.join(filed, ["level", "cx", "cy"]).withColumn("distance", m.distance_to_bbox(F.col("qx"), F.col("qy"), box_columns()))
-        # a box in several of the cells is met in each; its first place is enough
-        hits = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
-        if last:
-            found = ranked.select(*columns)
-            return found if done is None else done.unionByName(found)
-        ranked = save(ranked.select(*columns))
-        closed = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= k) & (F.col("far") <= side)).select("query_id")
-        found = ranked.join(closed, "query_id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        left = save(left.join(closed, "query_id", "left_anti"))
-        if left.isEmpty():
-            return done
-        side, rounds = side * 4, rounds + 1
+    boxes = save(boxes.withColumn("rank", F.row_number().over(alike)).where(F.col("rank") <= k).drop("rank"))
+    sizes = grid.upright(grid.sizes_of(boxes), "data")
+    asked = grid.sizes_of(points.select(*[F.col(c).alias(n) for c, n in zip(("qx", "qy", "qx", "qy"), BOX, strict=True)]))
+    if sizes.endless or asked.endless:
+        raise SpatialError("a neighbour join takes finite coordinates only")
+    if not sizes.n or not asked.n:
+        empty = given.select("query_id", F.lit(0).alias("rank")).join(boxes.select("id", F.lit(0.0).alias("distance")).limit(0))
+        return empty.select("query_id", "rank", "id", "distance").limit(0)
+    x0, y0 = min(sizes.extent[0], asked.extent[0]), min(sizes.extent[1], asked.extent[1])
+    span = max(max(sizes.extent[2], asked.extent[2]) - x0, max(sizes.extent[3], asked.extent[3]) - y0) or 1.0
+
+    def cells(x: str, y: str, low: int, high: int) -> Column:
+        """The cells of a place at the levels low to high, as numbers."""
+        cx, cy = (F.least(F.floor((F.col(c) - o) / F.lit(span) * F.lit(float(1 << FINEST))), F.lit((1 << FINEST) - 1)).cast("long") for c, o in ((x, x0), (y, y0)))
+        at = lambda level: F.lit(level << 2 * FINEST) + F.shiftleft(F.shiftright(cx, FINEST - level), FINEST) + F.shiftright(cy, FINEST - level)
+        return F.explode(F.array(*[at(level) for level in range(low, high + 1)]))
+
+    counts = boxes.select(cells("min_x", "min_y", 0, FINEST).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    dense = save(counts.where(F.col("n") >= k).select("cell"))
+    coarse = points.select("qx", "qy", cells("qx", "qy", 0, COARSE).alias("cell")).join(F.broadcast(dense.where(F.col("cell") < (COARSE + 1) << 2 * FINEST)), "cell")
+    fine = points.select("qx", "qy", cells("qx", "qy", COARSE + 1, FINEST).alias("cell")).join(dense, "cell")
+    level = F.shiftright(F.max("cell"), 2 * FINEST)
+    known = coarse.unionByName(fine).groupBy("qx", "qy").agg(level.alias("level"))
+    # without k boxes in all, the radius reaches everything
+    reach = F.coalesce(F.lit(math.sqrt(2.0) * span) / F.pow(F.lit(2.0), F.col("level")), F.lit(2.0 * span))
+    if max_distance is not None:
+        reach = F.least(reach, F.lit(float(max_distance)))
+    wide = reach * (1 + 1e-9) + (F.abs("qx") + F.abs("qy")) * 1e-12
+    squares = points.join(known, ["qx", "qy"], "left").withColumn("reach", wide)
+    squares = squares.select("qx", "qy", *[(F.col(c) + F.col("reach") * by).alias(n) for c, by, n in zip(("qx", "qy", "qx", "qy"), (-1, -1, 1, 1), BOX, strict=True)])
+    distance = metric_of("euclidean").distance_to_bbox(F.col("l.qx"), F.col("l.qy"), box_columns("r"))
+    hits = candidates(save(squares), boxes).select("l.qx", "l.qy", "r.id", distance.alias("distance"))
+    if max_distance is not None:
+        hits = hits.where(F.col("distance") <= F.lit(float(max_distance)))
+    near = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qx", "qy").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return given.join(near, ["qx", "qy"]).select("query_id", "rank", "id", "distance")

@@ -122,3 +122,24 @@ def f32_boxes(data: SpatialFrame) -> DataFrame:
     """id and the box in 32 bits, rounded outward so that it covers the box in 64."""
     flat = data.as_boxes().df
     return flat.select("id", *[narrowed(c, c.startswith("min")).alias(c) for c in BOX])
+
+
+def to_f64(value: Column) -> Column:
+    """A coordinate of any type as a double."""
+    return value.cast("double")
+
+
+def from_f64(value: Column, coord_type: str) -> Column:
+    """A double in a coordinate type; null where the type cannot hold it (a fraction is cut off)."""
+    width_of(coord_type)
+    if coord_type in ("float32", "float64"):
+        return value.cast("float" if coord_type == "float32" else "double")
+    bits, signed = int(coord_type.lstrip("uint")), not coord_type.startswith("u")
+    low, high = (-(1 << bits - 1), (1 << bits - 1) - 1) if signed else (0, (1 << bits) - 1)
+    whole = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("long")
+    return F.when(whole.between(low, high) & ~F.isnan(value), whole)
+
+
+def guarded_sqrt(value: Column) -> Column:
+    """The square root; null for a negative number."""
+    return F.when(value >= 0, F.sqrt(value))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry
 from tessera.functions.curve import hilbert_of
 from tessera.functions.metrics import EARTH, Euclidean, Haversine, box_columns
-from tessera.functions.predicates import axis_dist, bbox_intersects
+from tessera.functions.predicates import axis_dist, bbox_intersects, sq_dist
 from tessera.operators import cluster, join, kd, knn, meta, search
 from tessera.plans.tables import VIEWS, view
 from tessera.sources import buffer
@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY_BOX = (40.0, 100.0, 130.0, 250.0)
 AT = (61.0, 203.0)
 RADIUS = 40.0
+ALSO = (90.0, 203.0)
 LONLAT = (-74.0, 40.7)
 
 
@@ -57,6 +58,39 @@ def shapes(df: DataFrame) -> DataFrame:
     return df.select("id", shape.alias("geometry"))
 
 
+def many_shapes(df: DataFrame) -> DataFrame:
+    """A third of the orders as two points, a third as two squares, a third as a point and a level line."""
+    x, y = F.col("min_x"), F.col("min_y")
+
+    def square(at: Column) -> Column:
+        return geometry.polygon(geometry.vertex(at, y), geometry.vertex(at + 2.0, y), geometry.vertex(at + 2.0, y + 2.0), geometry.vertex(at, y + 2.0))
+
+    shape = (
+        F.when(F.col("id") % 3 == 0, geometry.collection(geometry.point(x, y), geometry.point(x + 3.0, y + 1.0)))
+        .when(F.col("id") % 3 == 1, geometry.collection(square(x), square(x + 5.0)))
+        .otherwise(geometry.collection(geometry.point(x, y), geometry.line(geometry.vertex(x + 1.0, y + 1.0), geometry.vertex(x + 4.0, y + 1.0))))
+    )
+    return df.select("id", shape.alias("geometry"))
+
+
+def narrow(spark: SparkSession, sf: str) -> DataFrame:
+    """What comes back from a buffer of 32-bit floats."""
+    return buffer.decode_rtree(spark, buffer.encode_rtree(numbered(orders(spark, sf)), coord_type="float32")).drop("pos")
+
+
+def kd_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The k-d tree's nodes, and how many children of the root's left and right each is."""
+    nodes = kd.kd_traversal(order_points(spark, sf))
+    ids = F.coalesce(F.array_join("leaf_ids", ","), F.lit(""))
+    return nodes.fillna(-1, ["middle_id", "left_lo", "left_hi", "right_lo", "right_hi"]).select("lo", "hi", "axis", "middle_id", "left_lo", "left_hi", "right_lo", "right_hi", ids.alias("leaf_ids"))
+
+
+def top_children(spark: SparkSession, sf: str) -> DataFrame:
+    """The children of the tree's root."""
+    nodes = cluster.tree_nodes(orders(spark, sf))
+    return cluster.children(nodes, cluster.root(nodes)).select("level", "pos", "parent_pos", *BOX)
+
+
 def boxed(df: DataFrame) -> DataFrame:
     return df.select("id", *[F.round(F.col(f"box.{c}"), 6).alias(c) for c in BOX])
 
@@ -82,7 +116,7 @@ def stream_join(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     located = stream.select(F.col("event_id").alias("id"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
-    return drained(spark, stream_static_join(points(located).as_boxes(), parts(spark, sf), 10.0), "join")
+    return drained(spark, stream_static_join(points(located).as_boxes(), parts(spark, sf)), "join")
 
 
 def queries() -> dict[str, Query]:
@@ -102,6 +136,7 @@ def queries() -> dict[str, Query]:
         "knn_euclid_maxdist": lambda s, d: at(orders(s, d), "euclidean", None, 30.0),
         "knn_haversine": lambda s, d: ranked(knn.neighbours(customers(s, d), *LONLAT, 25, metric="haversine"), 3),
         "knn_geometry": lambda s, d: ranked(knn.neighbours_geometry(shapes(orders(s, d).df), geometry.point(*AT), 25), 6),
+        "knn_geometry_multi": lambda s, d: ranked(knn.neighbours_geometry(many_shapes(orders(s, d).df), geometry.collection(geometry.point(*AT), geometry.point(*ALSO)), 40), 6),
         "knn_join": lambda s, d: knn.knn_join(points(view(s, d, "pts_orders").where("id % 50 = 0")), orders(s, d), 5).select("query_id", "rank", "id", F.round("distance", 6).alias("distance")),
         "dist_euclid": lambda s, d: orders(s, d).df.select("id", F.round(Euclidean().distance_to_bbox(F.lit(AT[0]), F.lit(AT[1]), box_columns()), 6).alias("distance")),
         "dist_haversine": lambda s, d: customers(s, d).df.select("id", F.round(Haversine().distance_to_bbox(F.lit(LONLAT[0]), F.lit(LONLAT[1]), box_columns()), 3).alias("distance")),
@@ -127,6 +162,15 @@ def queries() -> dict[str, Query]:
         "knn_geometry_haversine": lambda s, d: ranked(knn.neighbours_geometry(lonlat_points(s, d), geometry.point(*LONLAT), 25, metric="haversine"), 3),
         "rtree_buffer": lambda s, d: buffer.decode_rtree(s, buffer.encode_rtree(numbered(orders(s, d)))).drop("pos"),
         "kdtree_buffer": lambda s, d: buffer.decode_kdtree(s, buffer.encode_kdtree(numbered(order_points(s, d)))).drop("pos"),
+        "rtree_buffer_f32": narrow,
+        "rtree_children": top_children,
+        "kd_traversal": kd_walk,
+        "within_coord": lambda s, d: search.within_coord(order_points(s, d), AT, RADIUS),
+        "range_rect": lambda s, d: search.range_rect(order_points(s, d), QUERY_BOX),
+        "search_rect": lambda s, d: search.search_rect(orders(s, d), QUERY_BOX, ids_only=False),
+        "sq_dist": lambda s, d: order_points(s, d).df.select("id", F.round(sq_dist(F.col("x"), F.col("y"), F.lit(AT[0]), F.lit(AT[1])), 6).alias("distance")),
+        "knn_haversine_maxdist": lambda s, d: ranked(knn.neighbours(customers(s, d), *LONLAT, None, 2e6, metric="haversine"), 3),
+        "join_refined": lambda s, d: join.refined(orders(s, d), parts(s, d), F.col("l.max_x") - F.col("r.min_x") >= 1),
         "stream_within": stream_within,
         "stream_join": stream_join,
     }
@@ -226,6 +270,13 @@ def f32_sql(c: str) -> str:
 def oracle_sql() -> dict[str, str]:
     shape_dx = f"CASE WHEN id % 3 = 0 THEN abs(min_x - {AT[0]}) ELSE {clamp(AT[0], 'min_x', '(min_x + 2)')} END"
     shape_dy = f"CASE WHEN id % 3 = 2 THEN {clamp(AT[1], 'min_y', '(min_y + 2)')} ELSE abs(min_y - {AT[1]}) END"
+    away = lambda at, low, high, y0, y1: f"sqrt(pow({clamp(at[0], low, high)}, 2) + pow({clamp(at[1], y0, y1)}, 2))"
+    parts_of = (
+        (("min_x", "min_x", "min_y", "min_y"), ("(min_x + 3)", "(min_x + 3)", "(min_y + 1)", "(min_y + 1)")),
+        (("min_x", "(min_x + 2)", "min_y", "(min_y + 2)"), ("(min_x + 5)", "(min_x + 7)", "min_y", "(min_y + 2)")),
+        (("min_x", "min_x", "min_y", "min_y"), ("(min_x + 1)", "(min_x + 4)", "(min_y + 1)", "(min_y + 1)")),
+    )
+    multi = "CASE id % 3 " + " ".join(f"WHEN {k} THEN least({', '.join(away(at, *p) for at in (AT, ALSO) for p in two)})" for k, two in enumerate(parts_of)) + " END"
     n = "SELECT count(*) AS n FROM orders"
     levels = ", ".join(f"l{k} AS (SELECT CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 0 END AS n FROM l{k - 1})" for k in range(1, 8))
     every = [f"(SELECT n FROM l{k})" for k in range(8)]
@@ -246,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_euclid_maxdist": near(None, 30.0, f"sqrt({SQ})", "boxes_orders", 6),
         "knn_haversine": near(25, None, HAVERSINE, "lonlat_customer", 3),
         "knn_geometry": near(25, None, f"sqrt(pow({shape_dx}, 2) + pow({shape_dy}, 2))", "boxes_orders", 6),
+        "knn_geometry_multi": near(40, None, multi, "boxes_orders", 6),
         "knn_join": with_views(
             """SELECT query_id, rank::INTEGER AS rank, id, round(d, 6) AS distance FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (
@@ -287,6 +339,26 @@ def oracle_sql() -> dict[str, str]:
         "knn_geometry_haversine": near(25, None, HAVERSINE, "lonlat_customer", 3),
         "rtree_buffer": with_views("SELECT row_number() OVER (ORDER BY id) - 1 AS id, min_x, min_y, max_x, max_y FROM boxes_orders"),
         "kdtree_buffer": with_views("SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM pts_orders"),
+        "rtree_buffer_f32": with_views(f"SELECT row_number() OVER (ORDER BY id) - 1 AS id, {', '.join(f32_sql(c) for c in BOX)} FROM boxes_orders"),
+        "rtree_children": with_views(
+            f"""SELECT level, pos, parent_pos, min_x, min_y, max_x, max_y FROM (
+            SELECT *, pos // 16 AS parent_pos FROM ({' UNION ALL '.join(f"SELECT {k}::INTEGER AS level, (pos // {16**k})::BIGINT AS pos, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM p GROUP BY 2" for k in range(8))}))
+            WHERE level = (SELECT greatest(1, ceil(log2(count(*)) / 4))::INTEGER - 1 FROM p)""",
+            *hilbert_ctes(),
+        ),
+        "kd_traversal": with_views(
+            """SELECT lo, hi, axis, middle_id, CASE WHEN middle_id < 0 THEN -1 ELSE lo END AS left_lo, CASE WHEN middle_id < 0 THEN -1 ELSE (lo + hi) // 2 - 1 END AS left_hi,
+            CASE WHEN middle_id < 0 THEN -1 ELSE (lo + hi) // 2 + 1 END AS right_lo, CASE WHEN middle_id < 0 THEN -1 ELSE hi END AS right_hi, leaf_ids FROM (
+            SELECT lo, hi, max(depth % 2)::INTEGER AS axis, coalesce(max(CASE WHEN middle THEN id END), -1) AS middle_id,
+            coalesce(string_agg(CASE WHEN NOT middle THEN id END::VARCHAR, ',' ORDER BY id), '') AS leaf_ids FROM kd GROUP BY lo, hi)""",
+            *kd_ctes(),
+        ),
+        "within_coord": with_views(f"SELECT id FROM pts_orders WHERE (x - {AT[0]}) * (x - {AT[0]}) + (y - {AT[1]}) * (y - {AT[1]}) <= {RADIUS**2}"),
+        "range_rect": with_views(f"SELECT id FROM pts_orders WHERE x BETWEEN {QUERY_BOX[0]} AND {QUERY_BOX[2]} AND y BETWEEN {QUERY_BOX[1]} AND {QUERY_BOX[3]}"),
+        "search_rect": with_views(f"SELECT id, min_x, min_y, max_x, max_y FROM boxes_orders WHERE {IN_BOX}"),
+        "sq_dist": with_views(f"SELECT id, round((x - {AT[0]}) * (x - {AT[0]}) + (y - {AT[1]}) * (y - {AT[1]}), 6) AS distance FROM pts_orders"),
+        "knn_haversine_maxdist": near(None, 2e6, HAVERSINE, "lonlat_customer", 3),
+        "join_refined": with_views(f'SELECT l.id AS "left", r.id AS "right" FROM boxes_orders l JOIN boxes_part r ON {MEET} WHERE l.max_x - r.min_x >= 1'),
         "stream_within": with_views("SELECT id FROM pts_events WHERE (x - 50) * (x - 50) + (y - 50) * (y - 50) <= 900"),
         "stream_join": with_views('SELECT l.id AS "left", r.id AS "right" FROM pts_events l JOIN boxes_part r ON l.x BETWEEN r.min_x AND r.max_x AND l.y BETWEEN r.min_y AND r.max_y'),
     }

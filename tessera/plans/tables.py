@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.errors import SpatialError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the cluster names it. Only a session in one process (tests) may do
+    without: it gets a temporary folder of its own. On a cluster a missing setting is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path is not None:
+        return path
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        raise SpatialError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _LOCAL.get("path") is None:
+        _LOCAL["path"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _LOCAL["path"]
+
 
+class Written:
+    """Writes a table into the shared folder and reads it back, which cuts its lineage for good, so
+    a lost executor never costs more than one step.
 
-def written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a table and reads it back, which cuts its lineage for good."""
+    ``drop`` removes a table that nothing will read again. A result is lazy and reads the last ones
+    when it is used, so those go when the driver ends, or with ``remove_all`` before that.
+    """
 
-    def save(df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        # the file system outlives the session, so that tables can go after it was stopped
+        _LEFT[path] = (target.getFileSystem(sc._jsc.hadoopConfiguration()), target)
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._written_at = path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if (path := getattr(df, "_written_at", None)) in _LEFT:
+                system, target = _LEFT.pop(path)
+                system.delete(target, True)
+
+
+#: The folder of a session in one process, and the tables still there.
+_LOCAL: dict[str, str] = {}
+_LEFT: dict[str, tuple] = {}
+
 
-    return save
+@atexit.register
+def remove_all() -> None:
+    """Remove every table written so far."""
+    while _LEFT:
+        system, target = _LEFT.popitem()[1]
+        try:
+            system.delete(target, True)
+        except (Py4JError, OSError):  # the driver's JVM has gone
+            return
 
 
 #: The driver's tables have no coordinates: these views derive them, alike in Spark SQL and DuckDB.

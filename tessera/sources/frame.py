@@ -14,6 +14,14 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 POINT = ("x", "y")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name, begun like this, that is none of the columns' (which Spark tells apart without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @dataclass(frozen=True)
 class SpatialFrame:
     """``df`` holds id, the role columns as doubles, and any other columns of the caller's."""
@@ -85,15 +93,27 @@ def points(df: DataFrame, given: str | list[str] = list(POINT), key: str = "id",
     return frame(df, given, POINT, key, node_size, keep)
 
 
-def together(*batches: SpatialFrame) -> SpatialFrame:
-    """Batches of one kind as one frame, as if they had been added one after the other."""
+def together(*batches: SpatialFrame, renumber: bool = False) -> SpatialFrame:
+    """Batches of one kind as one frame. ``renumber`` gives them new ids, as if they had been added
+    one after the other: 0-based, by batch and then by the id within it."""
     first = batches[0]
-    df = first.df
     for other in batches[1:]:
         if other.roles != first.roles:
             raise SpatialError("boxes and points do not mix")
-        df = df.unionByName(other.df)
-    return SpatialFrame(df, first.roles, first.node_size, first.others)
+    if not renumber:
+        df = first.df
+        for other in batches[1:]:
+            df = df.unionByName(other.df)
+        return SpatialFrame(df, first.roles, first.node_size, first.others)
+    from tessera.operators.cluster import positions
+
+    batch = unused("batch", first.df.columns)
+    df = first.df.withColumn(batch, F.lit(0))
+    for k, other in enumerate(batches[1:], 1):
+        df = df.unionByName(other.df.withColumn(batch, F.lit(k)))
+    at = unused("at", df.columns)
+    df = positions(df, [batch, "id"], at).withColumn("id", F.col(at)).drop(batch, at)
+    return SpatialFrame(df.select(*first.df.columns), first.roles, first.node_size, first.others)
 
 
 def extent(data: SpatialFrame) -> DataFrame:

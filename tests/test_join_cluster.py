@@ -28,7 +28,8 @@ def test_join_of_mixed_sizes(spark):
     assert pairs(join.tree_join(left, right)) == want
     assert ids(join.semi(left, right)) == sorted({i for i, _ in want})
     assert ids(join.anti(left, right)) == sorted(set(range(len(a))) - {i for i, _ in want})
-    assert pairs(stream_static_join(left, right, 50.0)) == want
+    assert pairs(stream_static_join(left, right)) == want
+    assert pairs(stream_static_join(right, left)) == sorted((j, i) for i, j in want)
 
 
 def test_self_join_keeps_both_directions(spark):
@@ -44,6 +45,42 @@ def test_join_of_nothing_and_of_inverted_boxes(spark):
         join.tree_join(one, box_frame(spark, [(1, 0, 0, 1)]))
 
 
+def test_join_of_endless_boxes(spark):
+    inf = float("inf")
+    a = np.array([(0, 0, 1, 1), (-inf, 0, inf, 1), (5, -inf, 6, 0), (inf, 0, inf, 0), (-inf, -inf, inf, inf), (50, 50, 51, 51)])
+    b = np.array([(0.5, 0.5, 2, 2), (5, 5, inf, inf), (5.5, -9, 5.5, -9), (inf, -inf, inf, inf), (-7, 1, -7, 1)])
+    left, right = box_frame(spark, a), box_frame(spark, b)
+    want = brute(a, b)
+    assert pairs(join.tree_join(left, right)) == want and pairs(stream_static_join(left, right)) == want
+    assert ids(join.semi(left, right)) == sorted({i for i, _ in want}) and ids(join.anti(left, right)) == sorted(set(range(6)) - {i for i, _ in want})
+
+
+def test_semi_and_anti_know_rows_not_ids(spark):
+    from tessera import boxes
+
+    rows = [(None, 0, 0, 1, 1, "a"), (None, 9, 9, 9, 9, "b"), (1, 0, 0, 1, 1, "c"), (1, 9, 9, 9, 9, "d")]
+    df = spark.createDataFrame([(i, *map(float, b), t) for i, *b, t in rows], "id long, min_x double, min_y double, max_x double, max_y double, row string")
+    left, right = boxes(df, keep=["row"]), box_frame(spark, [(0, 0, 3, 3)])
+    kept, gone = join.semi(left, right), join.anti(left, right)
+    assert sorted(r["row"] for r in kept.collect()) == ["a", "c"] and sorted(r["row"] for r in gone.collect()) == ["b", "d"]
+    assert kept.columns == left.df.columns
+    left = left.df.alias("x")
+    marks = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in marks and "Inner" not in marks
+
+
+def test_a_box_is_filed_for_levels_of_the_other_side_alone(spark):
+    from tessera.operators import grid
+
+    rows = [(0, 0, 2.0**k, 2.0**k) for k in range(12)]
+    df = box_frame(spark, rows).df
+    sizes = grid.sizes_of(df)
+    assert sizes.n == 12 and len(sizes.rows) == 12 and sizes.extent == (0, 0, 2048, 2048)
+    base = grid.base_of(sizes)
+    small = grid.sizes_of(box_frame(spark, [(0, 0, 1, 1)]).df).levels(base)
+    assert grid.filed(df, base, small).groupBy("id").count().where("id > 0").count() == 0
+
+
 def test_refined_join(spark):
     a, b = box_frame(spark, [(0, 0, 4, 4), (1, 1, 9, 9)]), box_frame(spark, [(2, 2, 3, 3)])
     assert pairs(join.refined(a, b, F.col("l.max_x") > 5)) == [(1, 0)]
@@ -170,6 +207,7 @@ def test_buffers(spark):
     raw = buffer.encode_kdtree(point_frame(spark, rows[:, :2]))
     back = buffer.decode_kdtree(spark, raw).orderBy("id").collect()
     assert [(r["x"], r["y"]) for r in back] == [tuple(r) for r in rows[:, :2].tolist()] and buffer.coord_type_of(raw) == "float64"
+    assert buffer.metadata_of(raw) == meta.KDTreeMetadata(100, 64) and buffer.metadata_of(box_frame(spark, rows)) == meta.RTreeMetadata(100)
     for bad in (b"", raw[:7], raw[:-1], b"\x00" + raw[1:], raw[:1] + bytes([2 << 4 | 8]) + raw[2:]):
         with pytest.raises(SpatialError):
             buffer.decode_kdtree(spark, bad)
@@ -189,3 +227,73 @@ def test_clustered_files_answer_alike(spark, tmp_path):
 def test_insertion_index(spark):
     df = spark.createDataFrame([(i * 7 % 31,) for i in range(31)], "id long")
     assert all(r["id"] == r["insertion_index"] for r in cluster.insertion_index(df).collect())
+
+
+def test_narrow_buffers_cover_their_boxes(spark):
+    rows = np.concatenate([random_boxes(100, 14), [[0.1, 0.1, 0.3, 0.3], [-0.3, -0.3, -0.1, -0.1]]])
+    back = buffer.decode_rtree(spark, buffer.encode_rtree(box_frame(spark, rows), coord_type="float32")).orderBy("id").collect()
+    for r, (x0, y0, x1, y1) in zip(back, rows.tolist(), strict=True):
+        assert r["min_x"] <= x0 and r["min_y"] <= y0 and r["max_x"] >= x1 and r["max_y"] >= y1 and r["max_x"] - x1 < 1e-3
+    whole = box_frame(spark, np.floor(rows[:100]))
+    assert buffer.decode_rtree(spark, buffer.encode_rtree(whole, coord_type="uint16")).count() == 100
+    for data, kind in ((box_frame(spark, rows), "int32"), (whole, "int8"), (box_frame(spark, [(-1, 0, 1, 1)]), "uint32")):
+        with pytest.raises(SpatialError):
+            buffer.encode_rtree(data, coord_type=kind)
+    with pytest.raises(SpatialError):
+        buffer.coord_type_of_column(spark.range(1), "id")
+
+
+def test_anything_that_holds_an_index_opens(spark, tmp_path):
+    data, dots = box_frame(spark, random_boxes(50, 15), 8), point_frame(spark, random_boxes(50, 16)[:, :2], 8)
+    tree, kd_tree = buffer.encode_rtree(data), buffer.encode_kdtree(dots)
+    (tmp_path / "a.index").write_bytes(tree)
+    (tmp_path / "b.tree").write_bytes(kd_tree)
+    want = ids(search.search(data, 100, 100, 700, 700))
+    for source in (data, data.df, tree, bytearray(tree), memoryview(tree), str(tmp_path / "a.index")):
+        opened = buffer.open_index(spark, source)
+        assert ids(search.search(opened, 100, 100, 700, 700)) == want
+        assert opened.node_size == (16 if source is data.df else 8)
+    for source in (dots, dots.df, kd_tree, str(tmp_path / "b.tree")):
+        opened = buffer.open_index(spark, source)
+        assert opened.is_points and ids(search.within(opened, 400, 400, 300)) == ids(search.within(dots, 400, 400, 300))
+    for bad in (b"", b"PK\x03\x04aaaaaaaa", tree[:-1]):
+        with pytest.raises(SpatialError):
+            buffer.open_index(spark, bad)
+
+
+def test_walks(spark):
+    nodes = cluster.tree_nodes(box_frame(spark, random_boxes(100, 17)))
+    top = cluster.root(nodes)
+    below = cluster.children(nodes, top)
+    assert below.count() == 7 and cluster.children(nodes, below).where(cluster.is_leaf()).count() == 100
+    assert cluster.children(nodes, nodes.where("level = 0")).count() == 0
+    data = point_frame(spark, random_boxes(60, 18)[:, :2], node_size=8)
+    nodes = kd.kd_traversal(data)
+    top = nodes.where("lo = 0").orderBy(F.desc("hi")).limit(1)
+    left, right = kd.child_nodes(nodes, top, "left"), kd.child_nodes(nodes, top, "right")
+    assert tuple(left.select("lo", "hi").first()) == (0, 28) and tuple(right.select("lo", "hi").first()) == (30, 59)
+    seen = [i for r in nodes.collect() for i in (r["leaf_ids"] or [r["middle_id"]])]
+    assert sorted(seen) == list(range(60))
+    with pytest.raises(SpatialError):
+        kd.child_nodes(nodes, top, "up")
+
+
+def test_numbers_in_coordinate_types(spark):
+    row = spark.range(1).select(
+        meta.guarded_sqrt(F.lit(9.0)).alias("root"), meta.guarded_sqrt(F.lit(-1.0)).alias("none"), meta.from_f64(F.lit(-3.7), "int8").alias("cut"),
+        meta.from_f64(F.lit(300.0), "uint8").alias("large"), meta.from_f64(F.lit(0.1), "float32").alias("near"), meta.to_f64(F.lit(7)).alias("whole"),
+    ).first()
+    assert row["root"] == 3 and row["none"] is None and row["cut"] == -3 and row["large"] is None and row["near"] == pytest.approx(0.1) and row["whole"] == 7.0
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from tessera.plans import tables
+
+    save = tables.Written(spark)
+    one, other = save(spark.range(3)), save(spark.range(4))
+    place = [t._written_at.removeprefix("file://").removeprefix("file:") for t in (one, other)]
+    assert one.count() == 3 and all(map(os.path.isdir, place))
+    save.drop(one)
+    assert not os.path.isdir(place[0]) and other.count() == 4

@@ -126,6 +126,62 @@ def test_geometry_distances(spark):
     assert tuple(row["centre"]) == pytest.approx((2, 2)) and tuple(row["box"]) == (0, 0, 4, 4)
 
 
+def test_many_parts(spark):
+    v, point, line, polygon, many = geometry.vertex, geometry.point, geometry.line, geometry.polygon, geometry.collection
+    square = polygon(v(0, 0), v(10, 0), v(10, 10), v(0, 10))
+    far = polygon(v(50, 50), v(60, 50), v(60, 60), v(50, 60))
+    holed = polygon(v(0, 0), v(10, 0), v(10, 10), v(0, 10), holes=((v(2, 2), v(8, 2), v(8, 8), v(2, 8)),))
+    cases = {
+        "points": (many(point(100, 100), point(5, 5)), square, 0.0),
+        "lines": (many(line(v(20, 20), v(14, 20)), line(v(1, 1), v(2, 2))), square, 0.0),
+        "polygons": (point(55, 55), many(square, far), 0.0),
+        "between": (point(30, 5), many(square, far), 20.0),
+        "hole": (point(5, 5), holed, 3.0),
+        "in_hole": (polygon(v(4, 4), v(5, 4), v(5, 5)), many(holed, far), 2.0),
+        "mixed": (many(point(-3, -4), line(v(90, 0), v(90, 9))), many(square, point(0, -4)), 3.0),
+        "around": (many(point(700, 0), polygon(v(-9, -9), v(99, -9), v(99, 99), v(-9, 99))), many(square, far), 0.0),
+    }
+    none = F.array().cast(geometry.TYPE)
+    row = spark.range(1).select(
+        *[geometry.planar_distance(x, y).alias(k) for k, (x, y, _) in cases.items()],
+        *[geometry.planar_distance(y, x).alias(f"{k}_") for k, (x, y, _) in cases.items()],
+        geometry.planar_distance(none, square).alias("none"),
+        geometry.bbox(many(square, far)).alias("box"), geometry.bbox(none).alias("no_box"),
+        geometry.centroid(many(square, far, point(500, 500))).alias("both"), geometry.centroid(holed).alias("holed"),
+        geometry.centroid(many(line(v(0, 0), v(4, 0)), point(9, 9))).alias("line"), geometry.centroid(many(point(0, 0), point(4, 8))).alias("dots"),
+        geometry.centroid(none).alias("nowhere"),
+        geometry.centroid(polygon(v(0, 0), v(0, 10), v(10, 10), v(10, 0), holes=((v(0, 0), v(5, 0), v(5, 10), v(0, 10)),))).alias("half"),
+    ).first()
+    for k, (_, _, want) in cases.items():
+        assert row[k] == row[f"{k}_"] == pytest.approx(want), k
+    assert row["none"] is row["no_box"] is row["nowhere"] is None and tuple(row["box"]) == (0, 0, 60, 60)
+    assert tuple(row["both"]) == pytest.approx((30, 30)) and tuple(row["holed"]) == pytest.approx((5, 5)) and tuple(row["half"]) == pytest.approx((7.5, 5))
+    assert tuple(row["line"]) == pytest.approx((2, 0)) and tuple(row["dots"]) == pytest.approx((2, 4))
+
+
+def test_a_metric_has_its_own_bound(spark):
+    class Near(Euclidean):
+        def max_distance(self):
+            return 5.0
+
+    data = box_frame(spark, [(3, 3, 3, 3), (50, 0, 50, 0)])
+    assert ids(knn.neighbours(data, 0, 0, metric=Near())) == [0] and ids(knn.neighbours(data, 0, 0, metric=Near(), max_distance=60)) == [0, 1]
+    rows = spark.range(1).select("id", F.lit(None).cast(geometry.TYPE).alias("geometry"))
+    assert knn.neighbours_geometry(rows, geometry.point(0, 0), metric=Near()).first()["distance"] == 5.0
+
+
+def test_a_haversine_bound_is_a_band_of_latitudes(spark):
+    rng = np.random.default_rng(12)
+    rows = [(x, y, x, y) for x, y in zip(rng.uniform(-180, 180, 300).tolist(), rng.uniform(-90, 90, 300).tolist())] + [(0, 95, 0, 95)]
+    data = box_frame(spark, rows)
+    for x, y, most in ((10, 50, 2e6), (170, -89, 1e6), (0, 0, 0.0), (-5, 89.9, 3e6)):
+        got = knn.neighbours(data, x, y, max_distance=most, metric="haversine")
+        far = knn.neighbours(data, x, y, metric="haversine").where(F.col("distance") <= most)
+        assert got.collect() == far.collect()
+    plan = knn.neighbours(data, 10, 50, max_distance=1e6, metric="haversine")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_y" in plan and "<= 58.9" in plan
+
+
 def test_geometry_neighbours(spark):
     rows = spark.createDataFrame([(k, 5.0 * k + 1) for k in range(3)], "id long, v double").select("id", geometry.point(F.col("v"), F.col("v")).alias("geometry"))
     rows = rows.unionByName(spark.range(9, 10).select("id", F.lit(None).cast(geometry.TYPE).alias("geometry")))
@@ -145,4 +201,21 @@ def test_knn_join_against_brute_force(spark):
         dy = np.maximum(np.maximum(rows[:, 1] - y, y - rows[:, 3]), 0)
         assert by[i] == np.lexsort((np.arange(len(rows)), np.hypot(dx, dy)))[:4].tolist()
     assert knn.knn_join(point_frame(spark, []), box_frame(spark, rows), 4).count() == 0
+    bound = knn.knn_join(point_frame(spark, asked), box_frame(spark, rows), 4, max_distance=30.0).collect()
+    assert sorted(map(tuple, bound)) == sorted(tuple(r) for r in got if r["distance"] <= 30.0)
     assert knn.knn_join(point_frame(spark, asked), box_frame(spark, rows[:2]), 4).count() == 80
+
+
+def test_knn_join_of_crowds(spark):
+    rng = np.random.default_rng(13)
+    dense = rng.normal(0, 1e-4, (300, 2)) + 500
+    xy = np.concatenate([dense, np.tile([[7.0, 7.0]], (200, 1)), rng.uniform(0, 1000, (50, 2))])
+    asked = np.concatenate([dense[:20], np.tile([[7.0, 7.0]], (30, 1)), rng.uniform(-500, 1500, (20, 2)), [[500.0, 500.001]]])
+    got = knn.knn_join(point_frame(spark, asked), box_frame(spark, np.concatenate([xy, xy], 1)), 5).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append(r["id"])
+    for i, q in enumerate(asked):
+        assert by[i] == np.lexsort((np.arange(len(xy)), np.hypot(*(xy - q).T)))[:5].tolist(), i
+    with pytest.raises(SpatialError):
+        knn.knn_join(point_frame(spark, asked), box_frame(spark, [(0, 0, math.inf, 1)]), 5)

@@ -26,14 +26,28 @@ def test_wkb_distances(spark):
 def test_wkb_kinds():
     ring = struct.pack("<I6d", 3, 0, 0, 4, 0, 0, 3)
     polygon = struct.pack("<BII", 1, 3, 1) + ring
-    assert parsed(polygon)["kind"] == "polygon" and len(parsed(polygon)["rings"][0]) == 3
+    assert [p["kind"] for p in parsed(polygon)] == ["polygon"] and len(parsed(polygon)[0]["rings"][0]) == 3
     many = struct.pack("<BII", 1, 4, 2) + wkb_point(1, 2) + wkb_point(3, 4)
-    assert [r[0]["x"] for r in parsed(many)["rings"]] == [1, 3]
-    assert parsed(wkb_point(float("nan"), float("nan")))["rings"] == []
-    with pytest.raises(SpatialError):
-        parsed(polygon[:-1])
-    with pytest.raises(SpatialError):
-        parsed(struct.pack("<BII", 1, 7, 0))
+    assert [p["rings"][0][0]["x"] for p in parsed(many)] == [1, 3]
+    two = struct.pack("<BII", 1, 6, 2) + polygon + polygon
+    mixed = struct.pack("<BII", 1, 7, 3) + many + two + struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    assert [p["kind"] for p in parsed(mixed)] == ["point", "point", "polygon", "polygon", "line"]
+    assert parsed(wkb_point(float("nan"), float("nan"))) == [] == parsed(struct.pack("<BII", 1, 7, 0))
+    z = {"x": 1.0, "y": 2.0}
+    flat = [{"kind": "point", "rings": [[z]]}]
+    assert parsed(struct.pack("<BI3d", 1, 1001, 1, 2, 9)) == parsed(struct.pack("<BI3d", 1, 0x80000001, 1, 2, 9)) == flat
+    assert parsed(struct.pack("<BII4d", 1, 0xE0000001, 4326, 1, 2, 8, 9)) == parsed(struct.pack(">BI4d", 0, 3001, 1, 2, 8, 9)) == flat
+    for bad in (polygon[:-1], struct.pack("<BII", 1, 8, 0), struct.pack("<BII", 1, 4001, 0), b""):
+        with pytest.raises(SpatialError):
+            parsed(bad)
+
+
+def test_malformed_wkb_is_null(spark):
+    rows = spark.createDataFrame([(0, bytearray(wkb_point(3, 4))), (1, bytearray(b"\x01\x09")), (2, None)], "id long, raw binary")
+    got = {r["id"]: r["g"] for r in rows.select("id", from_wkb("raw").alias("g")).collect()}
+    assert got[0][0]["rings"][0][0]["x"] == 3 and got[1] is None and got[2] is None
+    with pytest.raises(Exception, match="too soon"):
+        rows.select(from_wkb("raw", strict=True)).collect()
 
 
 def test_batches_and_one_value_arguments(spark):
@@ -44,6 +58,8 @@ def test_batches_and_one_value_arguments(spark):
     assert ids(search.range_rect(dots, (2, 4, 7, 9))) == [1] and ids(search.within_coord(dots, (0, 2), 1)) == [0]
     with pytest.raises(SpatialError):
         together(data, dots)
+    again = together(data, box_frame(spark, [(7, 7, 8, 8), (9, 9, 9, 9)]), renumber=True)
+    assert [r["id"] for r in again.df.orderBy("min_x", "id").collect()] == [0, 1, 2, 3] or sorted(ids(again.df)) == [0, 1, 2, 3]
     found = knn.with_geometry(dots.df, spark.range(1).select("id", geometry.point(F.lit(0.0), F.lit(0.0)).alias("geometry"))).orderBy("id").collect()
     assert found[0]["geometry"] is not None and found[1]["geometry"] is None
 
