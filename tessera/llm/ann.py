@@ -6,7 +6,8 @@ lists of its nearest centroids, as many as brute force on the sample says that i
 the best are reranked by the exact distance on the original vectors.
 
 Equal vectors are one entry that knows its smallest ids, so a vector shared by a third of all rows
-is searched once. Lists are dealt in blocks of bounded size, so a hot list is many tasks' work.
+is searched once. Lists are dealt in blocks of bounded size, so a hot list is many tasks' work. A
+block is sent once for every BLOCK queries that ask for it, and not at all if none does.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, nor do those
 whose length is not the commonest; of rows with one id the least vector counts; with fewer
@@ -31,8 +32,9 @@ from tessera.llm.common import Written
 
 #: Vectors that centroids and codebooks are fitted on at most.
 SAMPLE = 32_768
-#: Lists at most; they grow with the root of the number of vectors.
-LISTS = 4_096
+#: Lists at most, and vectors of the sample for each at least; they grow with the root of the number
+#: of vectors. Beyond some four million vectors lists no longer multiply but lengthen.
+LISTS, FOR_LIST = 4_096, 8
 #: Share of true neighbours that the searched lists must hold, by brute force on the sample.
 COVERED = 0.97
 SUBSPACES, CODES = 16, 256
@@ -190,9 +192,11 @@ def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) ->
     return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
 
 
-def probes_for(index: Index, sample: np.ndarray, k: int, target: float = COVERED, trials: int = 256) -> int:
+def probes_for(index: Index, sample: np.ndarray, k: int, target: float, trials: int = 256) -> int:
     """The fewest lists a query must search so that they hold ``target`` of the true neighbours,
-    measured by brute force for some vectors of the sample against all of it."""
+    measured by brute force for some vectors of the sample against all of it; all of them for 1."""
+    if target >= 1:
+        return len(index.centers)
     own = nearest(sample, index.centers)
     ranks = []
     for i in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
@@ -238,9 +242,9 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = entries.select("entry", "vector").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE)
     x = np.array([r["vector"] for r in sample.select("vector").toLocalIterator()], np.float64)
-    lists = max(1, min(LISTS, len(x) // 32, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n))))))
+    lists = max(1, min(LISTS, len(x) // FOR_LIST, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n))))))
     index = fit(x, lists)
-    probes = probes_for(index, x, k)
+    probes = probes_for(index, x, k, COVERED)
     filed = written(
         entries.select("entry", "vector").mapInArrow(functools.partial(listed, index), "list int, codes binary, entry long, vector array<float>")
     )
@@ -250,14 +254,16 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     blocks = dealt(index, sizes, BLOCK)
     places = [(k, int(blocks.first[k]), int(blocks.parts[k])) for k in sizes]
     places = F.broadcast(spark.createDataFrame(places, "list int, first long, parts long"))
-    wanted = queries.select(F.col("entry").alias("query"), "vector").mapInArrow(
-        functools.partial(probed, index, blocks, probes), "block long, query long, vector array<float>, lists array<int>"
+    wanted = written(
+        queries.select(F.col("entry").alias("query"), "vector").mapInArrow(
+            functools.partial(probed, index, blocks, probes), "block long, query long, vector array<float>, lists array<int>"
+        )
     )
-    # queries beyond a block's size are dealt to several tasks, each of which sees all entries
-    asks = max(1, math.ceil(queries.count() / BLOCK))
-    left = wanted.withColumn("ask", F.pmod(F.xxhash64("query"), F.lit(asks)))
-    right = filed.join(places, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("entry"), "parts"))
-    right = right.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long")))).select("block", "ask", "list", "entry", "codes", "vector")
+    # queries beyond a block's size are dealt to several tasks, each of which sees all of its entries
+    demand = written(wanted.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("asks")))
+    left = wanted.join(demand, "block").withColumn("ask", F.pmod(F.xxhash64("query"), "asks")).drop("asks")
+    right = filed.join(places, "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("entry"), "parts")).join(demand, "block")
+    right = right.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))).select("block", "ask", "list", "entry", "codes", "vector")
     found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInArrow(
         lambda queries, entries: search_block(index, k + 1, queries, entries), "query long, entry long, score double"
     )

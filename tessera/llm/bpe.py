@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tessera.llm.common import small_batches, worker_cache
+from tessera.llm.common import small, worker_cache
 
 #: What white space is to the tokenizer: str.split() would also cut at 0x1C to 0x1F.
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -131,9 +131,10 @@ class WordBpe:
         return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut at white space; special tokens stand alone. Plain texts are lower-cased whole."""
+        """The text cut at white space; special tokens stand alone, after a space, which no other chunk
+        holds: lower-cased, a plain text may spell one. Plain texts are lower-cased whole."""
         if "<|" in text and self.special_at.search(text):
-            return [c for i, part in enumerate(self.special_at.split(text)) for c in ([part] if i % 2 else self.chunks(part))]
+            return [c for i, part in enumerate(self.special_at.split(text)) for c in ([f" {part}"] if i % 2 else self.chunks(part))]
         if text.isascii() and not SEPARATORS.search(text) or not UNUSUAL.search(text):
             return text.lower().split()
         return [c for c in SPACE.split(text) if c]
@@ -223,7 +224,7 @@ class Remembered:
         self.table: dict = {}  # a plain dict: sets compare with it by lookup
         self.old: dict = {}
         ids = np.array(list(bpe.special.values()), "<u4")
-        self.special = dict(zip(bpe.special, form.of_pieces(ids, list(range(len(ids) + 1))), strict=True))
+        self.special = dict(zip([f" {name}" for name in bpe.special], form.of_pieces(ids, list(range(len(ids) + 1))), strict=True))
 
     def prepare(self, texts: list[str | None]) -> list[list[str]]:
         """The chunks of each text; all of them can then be looked up in the table."""
@@ -265,7 +266,7 @@ class Remembered:
 def digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = id_and_token_strings(path)
     sha = hashlib.sha256
-    for batch in batches:
+    for batch in small(batches):
         counts, one, two = [], [], []
         for chunks in known.prepare(batch.column(1).to_pylist()):
             pairs = [known.table[c] for c in chunks]
@@ -281,7 +282,6 @@ def digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; one narrow pass."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         functools.partial(digests, tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
@@ -289,7 +289,7 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def id_arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = id_bytes(path)
-    for batch in batches:
+    for batch in small(batches):
         lists = known.prepare(batch.column(1).to_pylist())
         ids = [np.frombuffer(b"".join([known.table[c] for c in chunks]), "<i4") for chunks in lists]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -297,7 +297,6 @@ def id_arrays(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         functools.partial(id_arrays, tokenizer), "doc_id long, ids array<int>"
     )
@@ -305,14 +304,13 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def texts(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = model(path)
-    for batch in batches:
+    for batch in small(batches):
         out = [bpe.decode(ids or ()) for ids in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "decoded"])
 
 
 def decode(ids: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, decoded of the ids; null ids decode to the empty string."""
-    small_batches(ids.sparkSession)
     return ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(
         functools.partial(texts, tokenizer), "doc_id long, decoded string"
     )

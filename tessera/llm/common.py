@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -15,11 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.tables import Written
+
 T = TypeVar("T")
-#: Rows in one Arrow batch: bounds the memory of a Python worker when texts are long.
+#: Texts that a Python worker turns into lists at once.
 ARROW_ROWS = 1000
 
-
 #: Words whose hashes a Python worker remembers: about 50 MB.
 REMEMBERED = 300_000
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
@@ -40,57 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; the setting holds for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-class Written:
-    """Intermediate tables in the shared folder, so that a lost executor never costs lineage."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _LEFT[path] = self.spark
-        back = self.spark.read.schema(df.schema).parquet(path)
-        back._written_at = path
-        return back
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing will read again."""
-        if (path := getattr(df, "_written_at", None)) in _LEFT:
-            remove(_LEFT.pop(path), path)
-
-
-#: Tables still there, removed when the driver ends.
-_LEFT: dict[str, SparkSession] = {}
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def remove_all() -> None:
-    for path, spark in _LEFT.items():
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone; what is left is harmless
-            return
+def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows: what a worker makes of a slice goes before the next. Spark
+    bounds a batch itself by bytes (spark.sql.execution.arrow.maxBytesPerBatch) as well as by rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def stretches(spark: SparkSession) -> int:
@@ -167,10 +120,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
         yield out()
 
 
-def refreshed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of docs, with n_chars counted anew where there is such a column."""
-    again = F.length(F.col("text")).cast("long")
-    return docs.select(*[again.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+def whole_row(docs: DataFrame) -> Column:
+    """A row's columns as one struct, so that no name of an operator's own can clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def with_text(docs: DataFrame, text: Column, cut: Column, name: str = "text", length: str | None = None) -> list[Column]:
+    """The columns of ``docs`` from struct ``row``, with another text where ``cut`` holds, and there
+    with its characters counted anew in column ``length``, if there is such a column."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {name: text.cast(kinds[name])}
+    if length in kinds:
+        new[length] = F.length(text).cast(kinds[length])
+    return [(F.when(cut, new[c]).otherwise(F.col("row").getField(c)) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns]
 
 
 def words_of(text: str) -> list[str]:

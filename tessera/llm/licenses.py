@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame functions alone.
 
 A text is lower-cased (A-Z) and cut into words; rules are regular expressions over the words joined
-by single spaces. A rule is tried only where its keyword occurs. Of overlapping detections, one
+by single spaces: signatures written by hand, and the ways in which licenses are named. A rule is tried
+only where its keyword occurs. Of overlapping detections, one
 that lies within a detection of a rule of higher priority is suppressed: "mit license" within a
 full grant by that license says nothing new. What survives gives labels and a score.
 
@@ -14,12 +15,14 @@ are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lower_ascii
+from tessera.llm.signatures import SIGNATURES
 
 #: Phrases found at every place, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -100,40 +103,6 @@ TEMPLATES = (
     (r"(?:see|read) (?:the )?{} (?:license|licence)", "license licence", 70),
     (r"(?:the )?{} (?:license|licence)", "license licence", 60),
 )
-#: label, words of which one must occur, pattern, certainty: signatures of their own
-SINGLE = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 100),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 100),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 100),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 100),
-    ("gpl", "gnu", r"gnu general public license(?: as published by the free software foundation)?(?: (?:either )?version [123](?: of the license)?)?", 90),
-    ("lgpl", "general", r"gnu (?:lesser|library) general public license(?: version [23](?: [01])?)?", 90),
-    ("agpl", "affero", r"gnu affero general public license(?: version 3)?", 90),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 100),
-    ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", 80),
-    ("public-domain", "domain", r"(?:is|are) in the public domain", 70),
-    ("cc0", "cc0", r"cc0(?: 1 0)?", 70),
-    ("cc-by", "cc", r"cc by(?: [1234](?: [05])?)?", 80),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1234](?: [05])?)?", 90),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1234](?: [05])?)?", 90),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1234](?: [05])?)?", 90),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1234](?: [05])?)?", 95),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1234](?: [05])?)?", 95),
-    ("apache-2", "apache", r"www apache org licenses license 2 0", 95),
-    ("gpl", "gnu", r"www gnu org (?:licenses|copyleft)(?: gpl(?: [123] 0)?)?", 80),
-    ("cc", "creativecommons", r"creativecommons org (?:licenses|publicdomain)(?: [a-z]+)*(?: [1234] 0)?", 80),
-    ("mit", "mit", r"opensource org licenses mit", 95),
-    ("bsd", "bsd", r"opensource org licenses bsd(?: [23] clause)?", 95),
-    ("reserved", "rights", r"all rights (?:are )?reserved", 60),
-    ("reserved", "rights", r"some rights reserved", 60),
-    ("reserved", "reproduced", r"no part of this (?:publication|book|work|document) may be reproduced", 80),
-    ("reserved", "permission", r"(?:used|reprinted|reproduced) (?:with|by) permission", 50),
-    ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)", 80),
-    ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", 40),
-    ("warranty", "warranty", r"(?:the software is )?provided as is without warranty of any kind", 50),
-    ("warranty", "warranties", r"without warranties or conditions of any kind", 50),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -146,8 +115,9 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All signature rules in order of priority: the surest first, then the longest pattern."""
-    made = [(label, keys, "", pattern, sure) for label, keys, pattern, sure in SINGLE]
+    """All rules, signatures and named licenses, in order of priority: the surest first, then the longest pattern."""
+    lines = [line.split(" | ") for line in SIGNATURES.strip().splitlines()]
+    made = [(label, keys, "", pattern, int(sure)) for label, keys, sure, pattern in lines]
     made += [(label, keys, context, t.format(name), sure) for label, keys, name in FAMILIES for t, context, sure in TEMPLATES]
     made.sort(key=lambda r: (-r[4], -len(r[3]), r[0], r[3]))
     return [Rule(k, label, tuple(keys.split()), tuple(context.split()), pattern, sure) for k, (label, keys, context, pattern, sure) in enumerate(made)]
@@ -157,21 +127,14 @@ def word_array(words: tuple[str, ...] | list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
+RULES = "array<struct<priority:int,label:string,keywords:array<string>,context:array<string>,pattern:string,certainty:int>>"
+
+
 def rule_table(found: list[Rule]) -> Column:
-    """The rules as one constant; patterns match whole words of a text that begins and ends with a space."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.priority).alias("priority"),
-                F.lit(r.label).alias("label"),
-                word_array(r.keywords).alias("keywords"),
-                word_array(r.context).alias("context"),
-                F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"),
-                F.lit(r.certainty).alias("certainty"),
-            )
-            for r in found
-        ]
-    )
+    """The rules as one constant, which Spark reads once from JSON; patterns match whole words of a
+    text that begins and ends with a space."""
+    rows = [asdict(r) | {"pattern": f"(?<= )(?:{r.pattern})(?= )"} for r in found]
+    return F.from_json(F.lit(json.dumps(rows)), RULES)
 
 
 def spaces(text: Column) -> Column:
@@ -222,7 +185,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rule_table(found),
             lambda r: F.arrays_overlap("present", r["keywords"]) & ((F.size(r["context"]) == 0) | F.arrays_overlap("present", r["context"])) & F.rlike("ws", r["pattern"]),
         ),
-    ).otherwise(F.filter(rule_table(found[:1]), lambda r: F.lit(False)))
+    ).otherwise(F.array().cast(RULES))
     rows = rows.withColumn("hits", hits)
     rows = rows.withColumn("spans", F.flatten(F.transform("hits", lambda r: spans(F.col("ws"), r))))
     alone = F.filter(

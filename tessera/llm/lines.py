@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Written
+from tessera.llm.common import Written, whole_row, with_text
 
 #: A line on more than this share of a site's pages is boilerplate, if on LEAST pages or more.
 RATIO = 0.1
@@ -51,8 +51,8 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
     return frequent.groupBy("site").agg(F.collect_list(F.struct("h", "g")).alias("lines"))
 
 
-def without_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``pages`` with ``text`` cut, and __lines, __cut: how many lines there were and are gone.
+def cut_pages(pages: DataFrame, site: str, text: str, ratio: float, least: int) -> DataFrame:
+    """row (a page's columns), t (its text), __all and __left: its lines, and those that stay.
 
     The table of boilerplate is written first, so whether it is sent to all executors is decided by
     its size on disk; if it is too large for that, pages meet it in a join that AQE splits by skew.
@@ -60,27 +60,30 @@ def without_boilerplate(pages: DataFrame, site: str = "source", text: str = "tex
     written = Written(pages.sparkSession)
     found = written(boilerplate(pages, site, text, ratio, least, written))
     found = found.select(F.col("site").alias("__site"), F.col("lines").alias("__marks"))
-    t = F.col(f"`{text}`")
-    joined = pages.join(found, F.col(f"`{site}`") == F.col("__site"), "left")
-    joined = joined.withColumn("__all", F.when(t.isNotNull(), F.split(t, "\n")))
-    joined = joined.withColumn(
-        "__left",
-        F.when(
-            F.col("__marks").isNotNull(),
-            F.filter("__all", lambda x: blank(x) | ~F.array_contains(F.col("__marks"), mark(x))),
-        ).otherwise(F.col("__all")),
-    )
-    count = F.coalesce(F.size("__all"), F.lit(0)).cast("long")
-    gone = F.when(t.isNull(), 0).otherwise(F.size("__all") - F.size("__left")).cast("long")
-    cols = [F.when(F.size("__left") < F.size("__all"), F.array_join("__left", "\n")).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
-    return joined.select(*cols, F.when(t.isNull(), 0).otherwise(count).cast("long").alias("__lines"), gone.alias("__cut"))
+    given = pages.select(whole_row(pages), F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").cast("string").alias("t"))
+    joined = given.join(found, F.col("site") == F.col("__site"), "left").withColumn("__all", F.split("t", "\n"))
+    left = F.filter("__all", lambda x: blank(x) | ~F.array_contains(F.col("__marks"), mark(x)))
+    return joined.withColumn("__left", F.when(F.col("__marks").isNotNull(), left).otherwise(F.col("__all")))
+
+
+def without_boilerplate(
+    pages: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, length: str | None = None
+) -> DataFrame:
+    """The columns of ``pages``, whatever their names, with ``text`` cut; ``length`` names a column that
+    holds a text's characters, which is counted anew where lines went."""
+    joined = cut_pages(pages, site, text, ratio, least)
+    cut = F.coalesce(F.size("__left") < F.size("__all"), F.lit(False))
+    return joined.select(*with_text(pages, F.array_join("__left", "\n"), cut, text, length))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_lines, n_cut and the text left of every document."""
-    return without_boilerplate(docs.select("doc_id", "source", "text")).select(
-        "doc_id", "source", F.col("__lines").alias("n_lines"), F.col("__cut").alias("n_cut"), "text"
-    )
+    docs = docs.select("doc_id", "source", "text")
+    joined = cut_pages(docs, "source", "text", RATIO, LEAST)
+    n, left = F.size("__all"), F.size("__left")
+    counts = [F.when(F.col("t").isNull(), 0).otherwise(c).cast("long").alias(name) for c, name in ((n, "n_lines"), (n - left, "n_cut"))]
+    text = F.when(left < n, F.array_join("__left", "\n")).otherwise(F.col("t"))
+    return joined.select("row.doc_id", "row.source", *counts, text.alias("text"))
 
 
 def oracle(ratio: float = RATIO, least: int = LEAST) -> str:

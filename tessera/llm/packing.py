@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import Written, small_batches
+from tessera.llm.common import Written, small
 
 #: Remainders in a group, on average: bounds a task's memory, and a group wastes one sequence at most.
 GROUP = 4096
@@ -35,7 +35,7 @@ def cut(tokenizer: str, width: int, end: int, batches: Iterator[pa.RecordBatch])
     known = bpe.id_bytes(tokenizer)
     table = known.table
     tail = np.array([end], "<u4").tobytes()
-    for batch in batches:
+    for batch in small(batches):
         rows: list[tuple] = []
         lists = known.prepare(batch.column(1).to_pylist())
         for doc_id, chunks in zip(batch.column(0).to_pylist(), lists, strict=True):
@@ -99,7 +99,6 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 4096, end: int = 2, group
     Whole sequences are numbered from 0 by row, those of remainders from -1 downwards by group.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     written = Written(spark)
     pieces = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Written, small_batches
+from tessera.llm.common import Written, small
 
 #: Labelled rows that the trees are grown from at most: those whose ids hash lowest.
 SAMPLE = 50_000
@@ -71,7 +71,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["doc_id", "x"]
@@ -173,7 +173,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 
 def scored(model: Trees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES)).astype(np.float64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
@@ -194,7 +194,6 @@ def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    small_batches(docs.sparkSession)
     written = Written(docs.sparkSession)
     features = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measured, "doc_id long, x array<float>")

@@ -52,6 +52,10 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablation(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_rules": op9_rules,
+        "rules_ablation": rules_ablation,
         "op10_licenses": op10_licenses,
     }
 
@@ -75,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_lines": lines.oracle(),
         "op9_rules": rules.oracle(),
+        "rules_ablation": rules.ablation_oracle(),
     }

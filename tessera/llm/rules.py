@@ -6,7 +6,8 @@ and an ablation counts, from the few distinct masks, what each rule rejects and
 
 Defined cases: a null text has no words (all counts zero, so it fails the word count); empty texts
 likewise; rows are judged one by one, so repeated rows get equal rows; other columns are kept by
-``ledger`` only where asked for; an empty table gives an empty ledger.
+``ledger`` only where asked for, by ``keep_good`` all, whatever their names; an empty table gives an
+empty ledger.
 """
 
 from __future__ import annotations
@@ -71,7 +72,12 @@ def repeated_words(windows: str) -> Column:
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` (columns of docs), MEASURES as longs, and ``failed``: bit k set where rule k fails.
+    """``keep`` (columns of docs), MEASURES as longs, and ``failed``: bit k set where rule k fails."""
+    return measured(docs, keep).select("kept.*", *MEASURES, "failed")
+
+
+def measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The ledger with the kept columns in one struct ``kept``, whose names clash with none.
 
     All work is inside the row: no shuffle, and a text's arrays are the only state.
     """
@@ -116,7 +122,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return rows.withColumn("failed", failed).select("kept.*", *MEASURES, "failed")
+    return rows.withColumn("failed", failed)
 
 
 def passes(policy: str = "v1") -> Column:
@@ -133,14 +139,14 @@ def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs, whole, that pass the policy."""
-    judged = ledger(docs, tuple(docs.columns))
-    return judged.where(passes(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return measured(docs, tuple(docs.columns)).where(passes(policy)).select("kept.*")
 
 
 def ablation(found: DataFrame, policy: str = "v1") -> DataFrame:
     """rule, n_failed, n_alone (rejected by this rule and no other enforced one), n_kept_without.
 
-    The ledger is first counted by its distinct masks, at most two to the power of the rules.
+    The ledger is first counted by its distinct masks, at most two to the power of the rules. An empty
+    ledger gives no rows.
     """
     mask = POLICIES[policy]
     counts = found.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("failed")).agg(F.count("*").alias("n"))
@@ -181,3 +187,15 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     (failed & {BASE}) <> 0 AS base_failed, (failed & {POLICIES['v1'] | BASE}) = 0 AS kept, failed
 FROM f"""
+
+
+def ablation_oracle(policy: str = "v1") -> str:
+    """SQL for the rows of ``ablation`` over the ledger of documents."""
+    mask = POLICIES[policy]
+    each = [
+        f"""SELECT '{r.name}' AS rule, coalesce(sum((failed & {mask} & {BIT[r.name]} <> 0)::BIGINT), 0)::BIGINT AS n_failed,
+        coalesce(sum((failed & {mask} = {BIT[r.name]})::BIGINT), 0)::BIGINT AS n_alone, coalesce(sum((failed & {mask & ~BIT[r.name]} = 0)::BIGINT), 0)::BIGINT AS n_kept_without FROM ledger"""
+        for r in RULES
+        if BIT[r.name] & mask
+    ]
+    return f"WITH ledger AS MATERIALIZED (SELECT failed FROM ({oracle()})) {' UNION ALL '.join(each)}"

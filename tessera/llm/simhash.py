@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Written, components, hashed, small_batches, stretches, whole_groups, words_of
+from tessera.llm.common import Written, components, hashed, small, stretches, whole_groups, whole_row, words_of
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEED = 42
-#: Wide fingerprints: 64 bits for a first comparison and BLOCKS blocks of BLOCK_BITS. Texts whose
-#: five-word shingles agree to 0.8 (Jaccard) differ in 0.1515 of the bits on average: one block in 19
-#: is then equal, so 99.4 % of such pairs share one of 96.
-BLOCKS, BLOCK_BITS = 96, 18
-BITS_WIDE = 64 + BLOCKS * BLOCK_BITS
+#: Wide fingerprints: 64 bits for a first comparison, then those that blocks are taken from.
+BITS_WIDE = 1792
+#: Texts whose five-word shingles agree to 0.8 (Jaccard) differ in this share of the bits on average;
+#: such a pair shares a block with this probability.
+MEAN, FOUND = 0.1515, 0.994
+#: Bits of a block at least; of texts that have nothing in common a bucket should hold so many.
+BLOCK_BITS, STRANGERS = 18, 256
 LANES = np.array([(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(BITS_WIDE // 64)], np.uint64)
 #: Share of all bits, and number of the first 64, that may differ.
 DIFFER, NEAR_64 = 0.168, 20
@@ -64,14 +67,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         functools.partial(fingerprints, width), "doc_id long, fp long"
     )
@@ -225,7 +227,6 @@ def one_of_each(docs: DataFrame, differ: float = DIFFER) -> DataFrame:
     before the shuffle.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     written = Written(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
     marked = written(given.mapInArrow(wide_rows, "doc_id long, mark long, id long, bits binary"))
@@ -234,12 +235,11 @@ def one_of_each(docs: DataFrame, differ: float = DIFFER) -> DataFrame:
     wide = written(marked.groupBy("id").agg(F.min("bits").alias("bits"), first))
     labels = components(similar_links(wide.select("id", "bits"), differ), written)
     linked = wide.select("id", "first").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    keep = written(linked.groupBy("label").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in ("none", "id", "mark")]))
-    keys = ["__none", "__id", "__mark"]
-    named = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__mark": text_mark()})
-    one = named.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy("__id"))).where("__row = 1")
-    kept = one.join(keep.hint("merge"), keys, "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = written(linked.groupBy("label").agg(F.min("first").alias("first")).select("first.*"))
+    keys = ["none", "id", "mark"]
+    named = docs.select(whole_row(docs), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_mark().alias("mark"))
+    one = named.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("nth = 1")
+    return one.join(keep.hint("merge"), keys, "left_semi").select("row.*")
 
 
 def text_mark() -> Column:
@@ -269,24 +269,44 @@ def wide_bits(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         bits = [np.packbits(wide_bits(t), bitorder="little").tobytes() for t in batch.column("text").to_pylist()]
         ids = np.array([xxhash.xxh64_intdigest(b) for b in bits], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids), pa.array(bits, pa.binary())], names=["doc_id", "mark", "id", "bits"])
 
 
-def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def blocks_for(n: int) -> np.ndarray:
+    """The bits of each block, for so many fingerprints: blocks x bits, places from 64 on.
+
+    A block grows by a bit with every doubling beyond STRANGERS fingerprints a value, so buckets of
+    unrelated texts do not grow with the table; as longer blocks agree less often, there are more of
+    them (96 of 18 bits, then of 19 ...). While the bits suffice each is in one block.
+    """
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(n, 1) / STRANGERS)))
+    blocks = math.ceil(math.log1p(-FOUND) / math.log1p(-((1 - MEAN) ** bits)))
+    rng = np.random.default_rng(bits)
+    free, rows = np.empty(0, np.int64), []
+    for _ in range(blocks):
+        if len(free) < bits:
+            free = np.arange(64, BITS_WIDE) if not rows else rng.permutation(np.arange(64, BITS_WIDE))
+        rows.append(free[:bits])
+        free = free[bits:]
+    return np.array(rows)
+
+
+def block_rows(blocks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, bits -> a row for each block: key (block and its bits), the first 64 bits, id."""
-    weights = 1 << np.arange(BLOCK_BITS)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            raw = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            values = np.unpackbits(raw[:, 8:], axis=1, bitorder="little").reshape(part.num_rows, BLOCKS, BLOCK_BITS) @ weights
-            keys = values + (np.arange(BLOCKS) << BLOCK_BITS)
-            fps = np.repeat(np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel(), BLOCKS)
-            ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(fps), pa.array(ids)], names=["key", "fp", "id"])
+    weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    # one to one for each block: only two blocks' keys can be equal by chance
+    salts = np.array([xxhash.xxh64_intdigest(b"block", k) for k in range(len(blocks))], np.uint64)
+    for batch in small(batches, 500):
+        raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        bits = np.unpackbits(raw, axis=1, bitorder="little")
+        keys = (np.stack([(bits[:, b] * weights).sum(1, dtype=np.uint64) for b in blocks], 1) ^ salts) * odd
+        fps = np.repeat(np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel(), len(blocks))
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), len(blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(fps), pa.array(ids)], names=["key", "fp", "id"])
 
 
 def group_links(differ: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +323,12 @@ def group_links(differ: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def similar_links(wide: DataFrame, differ: float = DIFFER, chunk: int = CHUNK) -> DataFrame:
     """a, b (ids): links between wide fingerprints of which a share of at most ``differ`` bits differs.
 
-    Two that share the bits of any of BLOCKS blocks meet. Those that the first 64 bits connect in a
-    bucket are a group of candidates; only links that all bits verify span it, since a forest of the
-    candidates could pass by a true link. Rows of groups and links grow with the rows, not their square.
+    Two that share the bits of any block meet. Those that the first 64 bits connect in a bucket are a
+    group of candidates; only links that all bits verify span it, since a forest of the candidates
+    could pass by a true link. Rows of groups and links grow with the rows, not their square.
     """
     spark = wide.sparkSession
-    keyed = wide.mapInArrow(block_rows, "key long, fp long, id long")
+    keyed = wide.mapInArrow(functools.partial(block_rows, blocks_for(wide.count())), "key long, fp long, id long")
     groups = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_groups, NEAR_64), "group long, id long").distinct()
     met = groups.join(wide.select("id", "bits"), "id").select("group", "id", "bits")
     dealt = met.repartition(stretches(spark), "group").sortWithinPartitions("group")

@@ -4,7 +4,9 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp long, label string, __fp2 string"
+#: Names that operators use themselves.
+CLASHES = ("n_words", "failed", "kept", "t", "__all", "__cut", "__site", "__left", "__mark", "__row", "row", "__spans", "spans", "__id", "id", "mark", "nth", "n_pages", "bits", "uid", "label")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp long, __fp2 string, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def prose(rng, n):
@@ -31,7 +33,7 @@ def documents(spark, rows=None):
         made = texts()
         rows = [(k, t, None if k % 5 == 0 else f"s{k % 2}") for k, t in enumerate(made)]
         rows += [rows[0], rows[0], (None, made[4], "s1"), (None, None, None), (None, "no id here", "s0")]
-    full = [(i, t, None, s, None if t is None else len(t), 7, 7, "x", "y") for i, t, s in rows]
+    full = [(i, t, None, s, 0 if t is None else len(t), 7, 7, "y", *[f"{c} of {i}" for c in CLASHES]) for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

@@ -98,10 +98,11 @@ def test_wide_links_of_crowded_buckets_lose_none(spark, chunk):
     bits = [int.from_bytes(b, "little") for b in raw]
     near = [(i, j) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= simhash.DIFFER * simhash.BITS_WIDE]
 
+    masks = [sum(1 << int(b) for b in block) for block in simhash.blocks_for(len(bits))]
+
     def meet(i, j):
         x = bits[i] ^ bits[j]
-        blocks = (x >> 64 + simhash.BLOCK_BITS * k & (1 << simhash.BLOCK_BITS) - 1 for k in range(simhash.BLOCKS))
-        return (x & (1 << 64) - 1).bit_count() <= simhash.NEAR_64 and 0 in blocks
+        return (x & (1 << 64) - 1).bit_count() <= simhash.NEAR_64 and any(x & m == 0 for m in masks)
 
     want = groups_of(len(bits), [p for p in near if meet(*p)])
     links = [(r["a"], r["b"]) for r in simhash.similar_links(spark.createDataFrame(list(enumerate(raw)), "id long, bits binary"), chunk=chunk).collect()]
@@ -109,6 +110,33 @@ def test_wide_links_of_crowded_buckets_lose_none(spark, chunk):
     assert groups_of(len(bits), links) == want
 
 
+def test_a_link_is_not_lost_to_one_near_both_in_few_bits(spark):
+    """Two differ in 15.9 % of the bits and link alone; a third between them is near in the first 64 only."""
+    rng = np.random.default_rng(31)
+    one = rng.integers(0, 2, simhash.BITS_WIDE).astype(np.uint8)
+    block = simhash.blocks_for(3)[0]
+    free = np.setdiff1d(np.arange(64, simhash.BITS_WIDE), block)
+    other, between = one.copy(), one.copy()
+    other[np.concatenate([rng.choice(64, 16, replace=False), rng.choice(free, 269, replace=False)])] ^= 1
+    between[rng.choice(free, 900, replace=False)] ^= 1
+    between[:64] = np.where(np.arange(64) % 2, one[:64], other[:64])
+    raw = [np.packbits(b, bitorder="little").tobytes() for b in (one, between, other)]
+    links = simhash.similar_links(spark.createDataFrame(list(enumerate(raw)), "id long, bits binary")).collect()
+    assert [{r["a"], r["b"]} for r in links] == [{0, 2}]
+
+
+def test_blocks_grow_with_the_table():
+    sizes = {n: simhash.blocks_for(n) for n in (1, 200_000, 60_000_000, 2 * 10**10)}
+    assert sizes[1].shape == sizes[200_000].shape == sizes[60_000_000].shape == (96, 18) and sizes[2 * 10**10].shape[1] == 27
+    for n, blocks in sizes.items():
+        assert all(len(set(b)) == len(b) and b.min() >= 64 and b.max() < simhash.BITS_WIDE for b in blocks.tolist() for b in [np.array(b)])
+        assert n / 2 ** blocks.shape[1] <= simhash.STRANGERS
+    rng = np.random.default_rng(32)
+    x = rng.random((400, simhash.BITS_WIDE)) < simhash.MEAN  # bits in which a pair at 0.8 differs
+    for blocks in (sizes[1], sizes[2 * 10**10]):
+        assert np.mean([any(not row[b].any() for b in blocks) for row in x]) > 0.98
+
+
 def test_similar_texts_of_the_corpus_are_linked(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
@@ -245,6 +273,17 @@ def test_a_passage_whose_sentences_others_hold_is_found(spark):
     assert got == {(10 * k + 3, 10 * k + 2): (30, 120) for k in range(20)}
 
 
+def test_a_passage_that_earlier_documents_hold_in_halves_is_found(spark):
+    rng = random.Random(27)
+    one, two = prose(rng, 40), prose(rng, 40)
+    held = [(1, one), (2, two), (10, f"{one} {two}"), (11, f"{one} {two}"), (20, one), (21, two)]
+    rows = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}", "s") for i, t in held]
+    got = [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in substrings.passages(documents(spark, rows)).collect()]
+    assert got == [(11, 10, 30, 110)]
+    left = {r["doc_id"]: len(r["text"].split()) for r in substrings.without_passages(documents(spark, rows)).collect()}
+    assert left == {1: 100, 2: 100, 10: 140, 11: 60, 20: 100, 21: 100}
+
+
 def test_shared_text_of_a_repeated_line_is_found(spark):
     rng = random.Random(24)
     pairs = []

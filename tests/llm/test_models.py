@@ -103,7 +103,7 @@ def test_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
     x = (centres[rng.integers(0, 20, 2000)] + 0.3 * rng.normal(size=(2000, 16))).astype(np.float32)
-    got = ann.neighbours(embeddings(spark, list(enumerate(x.tolist()))), every=50).collect()
+    got = ann.neighbours(embeddings(spark, list(enumerate(x.tolist()))), every=8).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -112,7 +112,7 @@ def test_recall(spark):
         far = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
         far[q] = np.inf
         hits += len(found & set(np.argsort(far, kind="stable")[:10].tolist()))
-    assert len(by) == 40 and hits / 400 >= 0.9
+    assert len(by) == 250 and hits / 2500 >= 0.9
 
 
 def test_trees_learn_and_traverse_alike():
