@@ -9,8 +9,9 @@ all pairs: the buckets are searched breadth first over those not yet reached.
 
 ``near_groups`` does so for fingerprints of 64 bits and loses no link. ``one_of_each`` keeps one text of
 each group whose five-word shingles agree to 0.8: too far for exact pigeonhole tables, so wide
-fingerprints meet on any of many equal blocks. Those of a bucket that a first comparison connects are
-searched breadth first on all of their bits, so no link is lost to a spanning forest of mere candidates.
+fingerprints meet on any of many equal blocks. Those that a first comparison connects are a group of
+candidates, each fingerprint in one group only, and are searched breadth first on all of their bits, so
+no link is lost to a spanning forest of mere candidates.
 
 Defined cases: null and empty texts and texts without a word have fingerprint zero and link like
 any other; repeated rows share a fingerprint; null doc_ids never become a component's id unless no
@@ -35,16 +36,17 @@ from tessera.llm.common import Written, components, hashed, small, stretches, wh
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEED = 42
-#: Wide fingerprints: 64 bits for a first comparison, then those that blocks are taken from.
-BITS_WIDE = 1792
+#: Wide fingerprints: SKETCH bits for a first comparison, then those that blocks are taken from.
+SKETCH, BITS_WIDE = 128, 1856
 #: Texts whose five-word shingles agree to 0.8 (Jaccard) differ in this share of the bits on average;
 #: such a pair shares a block with this probability.
 MEAN, FOUND = 0.1515, 0.994
 #: Bits of a block at least; of texts that have nothing in common a bucket should hold so many.
 BLOCK_BITS, STRANGERS = 18, 256
 LANES = np.array([(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(BITS_WIDE // 64)], np.uint64)
-#: Share of all bits, and number of the first 64, that may differ.
-DIFFER, NEAR_64 = 0.168, 20
+#: Share of all bits, and number of the sketch's, that may differ: a pair at 0.8 passes the first
+#: comparison with a probability of 0.999, two unrelated texts with one of some 10^-8.
+DIFFER, NEAR = 0.168, 32
 #: Rows of one bucket that one task holds at once; larger buckets are met chunk by chunk.
 CHUNK = 32768
 
@@ -133,34 +135,21 @@ def bucket_forest(fps: np.ndarray, cuts: list[tuple[int, int]], distance: float)
     return links
 
 
-def bucket_links(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, i, j, fp, id sorted by bucket (key, i, j) -> a, b: spanning links of each bucket."""
+def bucket_links(distance: float, bits: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, i, j, id and fingerprints in columns ``bits``, sorted by bucket (key, i, j) -> a, b: spanning
+    links of each bucket. One column of longs, several of them, or one of bytes."""
     for rows, cuts in whole_groups(batches, 3):
         ids = rows["id"].to_numpy()
-        links = bucket_forest(rows["fp"].to_numpy().view(np.uint64), cuts, distance)
+        if pa.types.is_binary(rows.schema.field(bits[0]).type):
+            fps = np.frombuffer(b"".join(rows[bits[0]].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        else:
+            fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in bits], 1)
+        links = bucket_forest(fps[:, 0] if fps.shape[1] == 1 else fps, cuts, distance)
         if links:
             pairs = np.array(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
 
-def bucket_groups(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, i, j, fp, id sorted by bucket -> group, id: what links connect in each bucket. A group is
-    named by its ids, so that equal groups of several buckets are one."""
-    for rows, cuts in whole_groups(batches, 3):
-        ids = rows["id"].to_numpy()
-        member: dict[int, list[int]] = {}
-        for a, b in bucket_forest(rows["fp"].to_numpy().view(np.uint64), cuts, distance):
-            one, other = member.setdefault(a, [a]), member.setdefault(b, [b])
-            if len(one) < len(other):
-                one, other = other, one
-            one += other
-            member.update(dict.fromkeys(other, one))
-        groups = [np.sort(ids[g]) for g in {id(g): g for g in member.values()}.values()]
-        if groups:
-            names = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in groups], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g) for g in groups])), pa.array(np.concatenate(groups))], names=["group", "id"])
-
-
 def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The links without those between rows that earlier ones connect."""
     above: dict[int, int] = {}
@@ -183,12 +172,12 @@ def fingerprint_links(fps: DataFrame, distance: int, blocks: int, chunk: int = C
     """a, b (fingerprints as longs): links that connect all that are within distance."""
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(masks(distance, blocks))]
     keyed = fps.select("fp", F.explode(F.array(*tables)).alias("x")).select(F.xxhash64("x.t", "x.k").alias("key"), "fp", F.col("fp").alias("id"))
-    return buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, distance), "a long, b long")
+    return buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, distance, ("fp",)), "a long, b long")
 
 
 def buckets(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """key, i, j, fp, id: the rows of ``keyed`` (key, fp, id; a fingerprint or an id comes once in a
-    bucket) sorted by bucket, each whole in one partition.
+    """The rows of ``keyed`` (key, id and fingerprints; an id comes once in a bucket) with key, i, j,
+    sorted by bucket, each whole in one partition.
 
     A bucket beyond ``chunk`` rows is dealt into chunks by hash, and every two chunks meet in a
     bucket of their own, so no task holds more than about two chunks and no pair is missed. Such
@@ -199,7 +188,7 @@ def buckets(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     large = Written(spark)(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
     met = keyed.join(large, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / F.lit(chunk)), F.lit(1)).cast("long"))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id")
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *[c for c in keyed.columns if c != "key"])
     return met.repartition(stretches(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -276,7 +265,7 @@ def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_for(n: int) -> np.ndarray:
-    """The bits of each block, for so many fingerprints: blocks x bits, places from 64 on.
+    """The bits of each block, for so many fingerprints: blocks x bits, places beyond the sketch.
 
     A block grows by a bit with every doubling beyond STRANGERS fingerprints a value, so buckets of
     unrelated texts do not grow with the table; as longer blocks agree less often, there are more of
@@ -288,14 +277,14 @@ def blocks_for(n: int) -> np.ndarray:
     free, rows = np.empty(0, np.int64), []
     for _ in range(blocks):
         if len(free) < bits:
-            free = np.arange(64, BITS_WIDE) if not rows else rng.permutation(np.arange(64, BITS_WIDE))
+            free = np.arange(SKETCH, BITS_WIDE) if not rows else rng.permutation(np.arange(SKETCH, BITS_WIDE))
         rows.append(free[:bits])
         free = free[bits:]
     return np.array(rows)
 
 
 def block_rows(blocks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, bits -> a row for each block: key (block and its bits), the first 64 bits, id."""
+    """id, bits -> a row for each block: key (block and its bits), the sketch, id."""
     weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
     odd = np.uint64(0x9E3779B97F4A7C15)
     # one to one for each block: only two blocks' keys can be equal by chance
@@ -304,32 +293,26 @@ def block_rows(blocks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterato
         raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         bits = np.unpackbits(raw, axis=1, bitorder="little")
         keys = (np.stack([(bits[:, b] * weights).sum(1, dtype=np.uint64) for b in blocks], 1) ^ salts) * odd
-        fps = np.repeat(np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel(), len(blocks))
+        sketch = np.repeat(np.ascontiguousarray(raw[:, : SKETCH // 8]).view(np.int64), len(blocks), 0).T
         ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), len(blocks))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(fps), pa.array(ids)], names=["key", "fp", "id"])
-
-
-def group_links(differ: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """group, id, bits sorted by group -> a, b: spanning links of each group by all bits."""
-    for rows, cuts in whole_groups(batches, 1):
-        ids = rows["id"].to_numpy()
-        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        links = bucket_forest(bits, cuts, differ * BITS_WIDE)
-        if links:
-            pairs = np.array(links)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.ascontiguousarray(x)) for x in sketch], pa.array(ids)], names=["key", "s0", "s1", "id"])
 
 
 def similar_links(wide: DataFrame, differ: float = DIFFER, chunk: int = CHUNK) -> DataFrame:
     """a, b (ids): links between wide fingerprints of which a share of at most ``differ`` bits differs.
 
-    Two that share the bits of any block meet. Those that the first 64 bits connect in a bucket are a
-    group of candidates; only links that all bits verify span it, since a forest of the candidates
-    could pass by a true link. Rows of groups and links grow with the rows, not their square.
+    Two that share the bits of any block meet. What the sketches connect over all buckets is a group
+    of candidates, found as components of each bucket's spanning links; a fingerprint is in one group
+    only, however many blocks it shares. Only links that all bits verify span a group, since a forest
+    of the candidates could pass by a true link. Rows of groups and links grow with the rows, not
+    their square, but for groups beyond ``chunk``, of which every two chunks meet.
     """
     spark = wide.sparkSession
-    keyed = wide.mapInArrow(functools.partial(block_rows, blocks_for(wide.count())), "key long, fp long, id long")
-    groups = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_groups, NEAR_64), "group long, id long").distinct()
-    met = groups.join(wide.select("id", "bits"), "id").select("group", "id", "bits")
-    dealt = met.repartition(stretches(spark), "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(functools.partial(group_links, differ), "a long, b long").distinct()
+    written = Written(spark)
+    keyed = wide.mapInArrow(functools.partial(block_rows, blocks_for(wide.count())), "key long, s0 long, s1 long, id long")
+    rough = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, NEAR, ("s0", "s1")), "a long, b long")
+    labels = components(rough, written)
+    groups = labels.select(F.col("label").alias("key"), F.col("node").alias("id"))
+    groups = groups.unionByName(groups.select("key", F.col("key").alias("id")).distinct())
+    met = written(groups.join(wide.select("id", "bits"), "id").select("key", "bits", "id"))
+    return buckets(met, chunk).mapInArrow(functools.partial(bucket_links, differ * BITS_WIDE, ("bits",)), "a long, b long")

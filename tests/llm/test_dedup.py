@@ -102,24 +102,25 @@ def test_wide_links_of_crowded_buckets_lose_none(spark, chunk):
 
     def meet(i, j):
         x = bits[i] ^ bits[j]
-        return (x & (1 << 64) - 1).bit_count() <= simhash.NEAR_64 and any(x & m == 0 for m in masks)
+        return (x & (1 << simhash.SKETCH) - 1).bit_count() <= simhash.NEAR and any(x & m == 0 for m in masks)
 
-    want = groups_of(len(bits), [p for p in near if meet(*p)])
+    want, most = groups_of(len(bits), [p for p in near if meet(*p)]), groups_of(len(bits), near)
     links = [(r["a"], r["b"]) for r in simhash.similar_links(spark.createDataFrame(list(enumerate(raw)), "id long, bits binary"), chunk=chunk).collect()]
     assert {(max(p), min(p)) for p in links} <= set(near)
-    assert groups_of(len(bits), links) == want
+    got = groups_of(len(bits), links)  # what meets is joined, and nothing that links do not
+    assert groups_of(len(bits), [*enumerate(got), *enumerate(want)]) == got and groups_of(len(bits), [*enumerate(got), *enumerate(most)]) == most
 
 
 def test_a_link_is_not_lost_to_one_near_both_in_few_bits(spark):
-    """Two differ in 15.9 % of the bits and link alone; a third between them is near in the first 64 only."""
+    """Two differ in 15.9 % of the bits and link alone; a third between them is near in the sketch only."""
     rng = np.random.default_rng(31)
     one = rng.integers(0, 2, simhash.BITS_WIDE).astype(np.uint8)
-    block = simhash.blocks_for(3)[0]
-    free = np.setdiff1d(np.arange(64, simhash.BITS_WIDE), block)
+    few = np.arange(simhash.SKETCH)
+    free = np.setdiff1d(np.arange(simhash.SKETCH, simhash.BITS_WIDE), simhash.blocks_for(3)[0])
     other, between = one.copy(), one.copy()
-    other[np.concatenate([rng.choice(64, 16, replace=False), rng.choice(free, 269, replace=False)])] ^= 1
+    other[np.concatenate([rng.choice(few, 20, replace=False), rng.choice(free, 275, replace=False)])] ^= 1
     between[rng.choice(free, 900, replace=False)] ^= 1
-    between[:64] = np.where(np.arange(64) % 2, one[:64], other[:64])
+    between[few] = np.where(few % 2, one[few], other[few])
     raw = [np.packbits(b, bitorder="little").tobytes() for b in (one, between, other)]
     links = simhash.similar_links(spark.createDataFrame(list(enumerate(raw)), "id long, bits binary")).collect()
     assert [{r["a"], r["b"]} for r in links] == [{0, 2}]
@@ -129,7 +130,7 @@ def test_blocks_grow_with_the_table():
     sizes = {n: simhash.blocks_for(n) for n in (1, 200_000, 60_000_000, 2 * 10**10)}
     assert sizes[1].shape == sizes[200_000].shape == sizes[60_000_000].shape == (96, 18) and sizes[2 * 10**10].shape[1] == 27
     for n, blocks in sizes.items():
-        assert all(len(set(b)) == len(b) and b.min() >= 64 and b.max() < simhash.BITS_WIDE for b in blocks.tolist() for b in [np.array(b)])
+        assert all(len(set(b)) == len(b) and b.min() >= simhash.SKETCH and b.max() < simhash.BITS_WIDE for b in blocks.tolist() for b in [np.array(b)])
         assert n / 2 ** blocks.shape[1] <= simhash.STRANGERS
     rng = np.random.default_rng(32)
     x = rng.random((400, simhash.BITS_WIDE)) < simhash.MEAN  # bits in which a pair at 0.8 differs
