@@ -20,9 +20,7 @@ ARROW_ROWS = 1000
 
 #: Words whose hashes a Python worker remembers: about 50 MB.
 REMEMBERED = 300_000
-ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
 _CACHE: dict[str, object] = {}
 
 
@@ -135,19 +133,24 @@ def with_text(docs: DataFrame, text: Column, cut: Column, name: str = "text", le
     return [(F.when(cut, new[c]).otherwise(F.col("row").getField(c)) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns]
 
 
-def words_of(text: str) -> list[str]:
-    """Words between the six ASCII spaces, A-Z lower-cased."""
-    if text.isascii():
-        text = text.lower()
-        return WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
-    return WORDS.findall(text.translate(UPPER))
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """A string column's texts in UTF-8, as they lie in the batch."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def hashed(words: list[str]) -> np.ndarray:
-    known: dict[str, int] = worker_cache("word hashes", dict)
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Words between the six ASCII spaces, A-Z lower-cased, in UTF-8. Bytes are lower-cased and split
+    by just these characters."""
+    if text is None:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = worker_cache("word hashes", dict)
     if len(known) > REMEMBERED:
         known.clear()
     digest = xxhash.xxh64_intdigest
     for w in set(words).difference(known):
-        known[w] = digest(w.encode("utf-8", "surrogatepass"))
+        known[w] = digest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Written, components, hashed, small, stretches, whole_groups, whole_row, words_of
+from tessera.llm.common import Written, components, hashed, raw_texts, small, stretches, whole_groups, whole_row, words_of
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEED = 42
@@ -51,11 +51,11 @@ DIFFER, NEAR = 0.168, 32
 CHUNK = 32768
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    words = words_of(text or "")
+def fingerprint(text: str | bytes | None, width: int = 3) -> int:
+    words = words_of(text)
     if not words:
         return 0
-    raw = " ".join(words).encode("utf-8", "surrogatepass")
+    raw = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
         return digest(raw, SEED)
@@ -70,7 +70,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
+        fps = np.array([fingerprint(t, width) for t in raw_texts(batch.column(1))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -236,9 +236,9 @@ def text_mark() -> Column:
     return F.xxhash64(F.col("text").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def wide_bits(text: str | None, width: int = 5) -> np.ndarray:
+def wide_bits(text: str | bytes | None, width: int = 5) -> np.ndarray:
     """0 or 1 for each of BITS_WIDE bits: the majority over the text's distinct word shingles."""
-    words = words_of(text or "")
+    words = words_of(text)
     if not words:
         return np.zeros(BITS_WIDE, np.uint8)
     hashes = hashed(words)
@@ -259,7 +259,7 @@ def wide_bits(text: str | None, width: int = 5) -> np.ndarray:
 
 def wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        bits = [np.packbits(wide_bits(t), bitorder="little").tobytes() for t in batch.column("text").to_pylist()]
+        bits = [np.packbits(wide_bits(t), bitorder="little").tobytes() for t in raw_texts(batch.column("text"))]
         ids = np.array([xxhash.xxh64_intdigest(b) for b in bits], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids), pa.array(bits, pa.binary())], names=["doc_id", "mark", "id", "bits"])
 

@@ -187,7 +187,19 @@ def test_winnowing_keeps_a_seed_of_every_shared_run():
         run = rng.integers(0, 2**63, substrings.K + substrings.WINDOW - 1).astype(np.uint64)
         one = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64), run, rng.integers(0, 2**63, 20).astype(np.uint64)])
         two = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64), run])
-        assert set(substrings.seeds_of(one)[0].tolist()) & set(substrings.seeds_of(two)[0].tolist())
+        seed, text, _ = substrings.seeds_of(np.concatenate([one, two]), np.repeat([0, 1], [len(one), len(two)]))
+        assert set(seed[text == 0].tolist()) & set(seed[text == 1].tolist())
+
+
+def test_texts_together_give_the_seeds_that_each_gives_alone():
+    rng = np.random.default_rng(33)
+    texts = [rng.integers(0, 6 if k % 3 else 2**63, n).astype(np.uint64) for k, n in enumerate([0, 1, 3, 4, 5, 9, 10, 11, 49, 50, 51, 70, 300, 0, 200, 80])]
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    for find in (substrings.seeds_of, substrings.runs_at):
+        seed, own, at = find(np.concatenate(texts), text)
+        alone = [find(t, np.zeros(len(t), np.int64)) for t in texts]
+        assert seed.tolist() == [v for a in alone for v in a[0].tolist()] and at.tolist() == [v for a in alone for v in a[2].tolist()]
+        assert own.tolist() == [k for k, a in enumerate(alone) for _ in a[0]]
 
 
 def test_chains_are_the_best_ones():
