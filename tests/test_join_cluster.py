@@ -224,6 +224,16 @@ def test_clustered_files_answer_alike(spark, tmp_path):
     assert ids(search.search(again, 100, 100, 400, 400)) == ids(search.search(data, 100, 100, 400, 400))
 
 
+def test_a_search_of_clustered_files_reads_few_rows(spark, tmp_path):
+    from tessera import boxes
+
+    write_clustered(box_frame(spark, random_boxes(4000, 19)), str(tmp_path / "c"), 40)
+    found = search.search(boxes(spark.read.parquet(str(tmp_path / "c"))), 100, 100, 180, 180, ids_only=False)
+    n = len(found.collect())
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert 0 < n <= scan.metrics().apply("numOutputRows").value() <= 800
+
+
 def test_insertion_index(spark):
     df = spark.createDataFrame([(i * 7 % 31,) for i in range(31)], "id long")
     assert all(r["id"] == r["insertion_index"] for r in cluster.insertion_index(df).collect())
