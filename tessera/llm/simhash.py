@@ -135,9 +135,36 @@ def bucket_forest(fps: np.ndarray, cuts: list[tuple[int, int]], distance: float)
     return links
 
 
-def bucket_links(distance: float, bits: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stars(links: list[tuple[int, int]], ids: np.ndarray) -> list[tuple[int, int]]:
+    """For what links connect, the smallest id with each other one."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            above.update({y: x} if ids[x] < ids[y] else {x: y})
+    return [(int(ids[root(x)]), int(ids[x])) for x in {x for link in links for x in link} if root(x) != x]
+
+
+def one_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """b, a sorted by both: of each b its centres a, one for each bucket at most -> links that connect
+    the same: the least centre with b and with the others. Many members have the same centres."""
+    for rows, _ in whole_groups(batches, 1):
+        b, a = rows["b"].to_numpy(), rows["a"].to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        least = np.repeat(a[begin], np.diff(np.append(begin, len(b))))
+        links = np.unique(np.concatenate([np.stack([a[begin], b[begin]], 1), np.stack([least, a], 1)[least != a]]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+
+def bucket_links(distance: float, bits: tuple[str, ...], batches: Iterator[pa.RecordBatch], star: bool = False) -> Iterator[pa.RecordBatch]:
     """key, i, j, id and fingerprints in columns ``bits``, sorted by bucket (key, i, j) -> a, b: spanning
-    links of each bucket. One column of longs, several of them, or one of bytes."""
+    links of each bucket, or stars that connect the same. One column of longs, several, or one of bytes."""
     for rows, cuts in whole_groups(batches, 3):
         ids = rows["id"].to_numpy()
         if pa.types.is_binary(rows.schema.field(bits[0]).type):
@@ -146,8 +173,8 @@ def bucket_links(distance: float, bits: tuple[str, ...], batches: Iterator[pa.Re
             fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in bits], 1)
         links = bucket_forest(fps[:, 0] if fps.shape[1] == 1 else fps, cuts, distance)
         if links:
-            pairs = np.array(links)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
+            pairs = np.array(stars(links, ids)) if star else ids[np.array(links)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -310,8 +337,10 @@ def similar_links(wide: DataFrame, differ: float = DIFFER, chunk: int = CHUNK) -
     spark = wide.sparkSession
     written = Written(spark)
     keyed = wide.mapInArrow(functools.partial(block_rows, blocks_for(wide.count())), "key long, s0 long, s1 long, id long")
-    rough = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, NEAR, ("s0", "s1")), "a long, b long")
-    labels = components(rough, written)
+    rough = buckets(keyed, chunk).mapInArrow(functools.partial(bucket_links, NEAR, ("s0", "s1"), star=True), "a long, b long")
+    # a member of many buckets has as many centres, which most of its group share: reduced before any join
+    dealt = rough.select("b", "a").repartition(stretches(spark), "b").sortWithinPartitions("b", "a")
+    labels = components(dealt.mapInArrow(one_star, "a long, b long"), written)
     groups = labels.select(F.col("label").alias("key"), F.col("node").alias("id"))
     groups = groups.unionByName(groups.select("key", F.col("key").alias("id")).distinct())
     met = written(groups.join(wide.select("id", "bits"), "id").select("key", "bits", "id"))

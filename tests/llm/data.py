@@ -23,7 +23,7 @@ def texts():
         f"{prose(rng, 90)} {passage} {prose(rng, 40)}", f"{prose(rng, 30)} {passage} {prose(rng, 80)}", passage,
         "a b c " * 60, "Same line here.\n" * 8 + prose(rng, 60), "###" * 40 + " " + prose(rng, 60), prose(rng, 5000),
         "Ünïcode ÀÉ 日本語 😀 cc by 4.0 CC-BY. All Rights reserved\x00 general public license", "cc by cc by cc by", "x" * 5000,
-        "licensed under the MIT license", "This is licensed under the GNU General Public License version 2", "<|endoftext|> it's 12",
+        "licensed under the MIT license", "This is licensed under the GNU General Public License version 2", "<|endoftext|> it's 12", "<|ENDOFTEXT|> a <|EndOfText|>b<|endoftext|><|ENDOFTEXT|>",
     ]
 
 

@@ -111,6 +111,23 @@ def test_wide_links_of_crowded_buckets_lose_none(spark, chunk):
     assert groups_of(len(bits), [*enumerate(got), *enumerate(want)]) == got and groups_of(len(bits), [*enumerate(got), *enumerate(most)]) == most
 
 
+def test_stars_connect_what_links_do():
+    import pyarrow as pa
+
+    rng = random.Random(34)
+    for _ in range(50):
+        ids = np.array(rng.sample(range(1000), 30))
+        every = []
+        for _ in range(6):
+            links = [tuple(rng.sample(range(30), 2)) for _ in range(rng.randint(1, 12))]
+            found = simhash.stars(links, ids)
+            assert groups_of(1000, found) == groups_of(1000, [(ids[a], ids[b]) for a, b in links]) and all(a < b for a, b in found)
+            every += found
+        rows = np.array(sorted((b, a) for a, b in every))
+        got = [(a, b) for t in simhash.one_star([pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["b", "a"])]) for a, b in zip(*t.to_pydict().values())]
+        assert groups_of(1000, got) == groups_of(1000, every)
+
+
 def test_a_link_is_not_lost_to_one_near_both_in_few_bits(spark):
     """Two differ in 15.9 % of the bits and link alone; a third between them is near in the sketch only."""
     rng = np.random.default_rng(31)
