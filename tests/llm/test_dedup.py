@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -314,6 +315,54 @@ def test_a_passage_that_earlier_documents_hold_in_halves_is_found(spark):
     assert left == {1: 100, 2: 100, 10: 140, 11: 60, 20: 100, 21: 100}
 
 
+def crowded_sentences():
+    """Sentences that very many documents hold alone, and four documents that hold two of them joined and edited."""
+    rng = random.Random(41)
+    one, two = prose(rng, 40), prose(rng, 40)
+    other = [" ".join([*one.split()[:20], "changed", *one.split()[21:], *two.split()[:12], "anew", *two.split()[13:]])]
+    other.append(" ".join([*one.split()[:33], "left", *one.split()[34:], *two.split()[:25], "out", *two.split()[26:]]))
+    held = [one, two] * 20 + [f"{one} {two}", other[0], other[1], f"{one} {two}"] + [two, one] * 20
+    return [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}", "s") for i, t in enumerate(held)]
+
+
+def test_a_passage_in_a_crowd_is_found(spark):
+    docs = documents(spark, crowded_sentences())
+    got = [(r["doc_id"], r["source_id"]) for r in substrings.passages(docs).collect()]
+    assert {(41, 40), (42, 40), (43, 40)} <= set(got) and {i for pair in got for i in pair} == {40, 41, 42, 43}
+
+
+def test_the_rest_of_a_crowd_meets_directly():
+    rng = np.random.default_rng(42)
+    line = rng.integers(1, 1 << 16, 20)
+    words = rng.integers(1, 3000, (150, 96))
+    words[:, 40:60] = line
+    for k in range(0, 60, 2):  # 46 words in common, and two of them no run of 50
+        words[k + 1, 20:46] = words[k, 20:46]
+    words[100:, :] = words[100]
+    for k in range(101, 150):
+        words[k, rng.choice([*range(40), *range(60, 96)], 3, replace=False)] = 0xFFFF - k
+    words = words.astype(np.uint16)
+    met = [(int(a), int(b)) for x, y in substrings.met_in_crowd(words, np.arange(150), 50, 0.8) for a, b in zip(x, y)]
+    group = groups_of(150, met)
+    assert {(k + 1, k) for k in range(0, 60, 2)} <= set(met) and set(group[100:]) == {100}
+    assert all(any(b < a for x, b in met if x == a) for a in range(101, 150)) and len(met) < 1000
+
+
+def test_chunks_of_a_crowd_meet():
+    rng = np.random.default_rng(43)
+    words = rng.integers(1, 1 << 16, (90, 96)).astype(np.uint16)
+    words[:, 46:50] = 7
+    words[45:] = words[:45]
+    words[45:, 20] = words[45:, 70] = 9
+    own = rng.integers(0, 3, 90).astype(np.int32)
+    rows = [(1, min(c, d), max(c, d), c, k, 60, words[k].tobytes()) for k, c in enumerate(own.tolist()) for d in range(3)]
+    names = ["seed", "i", "j", "own", "uid", "pos", "words"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(rows)), kinds)], names=names)
+    got = [(r["a"], r["b"]) for b in substrings.crowd_rows(50, 0.8, iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == [(45 + k, k) for k in range(45)]
+
+
 def test_shared_text_of_a_repeated_line_is_found(spark):
     rng = random.Random(24)
     pairs = []
