@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import lines, rules
 from tests.llm.data import CLASHES, documents, key
-from tests.llm.test_dedup import jaccard, shared_docs, shingles
+from tests.llm.test_dedup import crowded_sentences, jaccard, shared_docs, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,8 @@ def test_stages_keep_extra_columns_and_bear_trouble(spark, empty):
                 old = known.get((r["doc_id"], r["text"]))
                 assert r == old if old is not None else r["n_chars"] == len(r["text"])
             docs = out
+
+
+def test_a_passage_in_a_crowd_stays_once(spark):
+    left = {r["doc_id"]: len(r["text"].split()) for r in corpus_pipeline.substring_dedup(spark, documents(spark, crowded_sentences()), SF).collect()}
+    assert left[40] == 140 and all(left[i] <= 64 for i in (41, 42, 43)) and all(n == 100 for i, n in left.items() if not 40 <= i <= 43)
