@@ -348,6 +348,51 @@ def test_the_rest_of_a_crowd_meets_directly():
     assert all(any(b < a for x, b in met if x == a) for a in range(101, 150)) and len(met) < 1000
 
 
+def longest(x, y):
+    row = [0] * (len(y) + 1)
+    for u in x:
+        last = 0
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], last + 1 if u == v != 0 else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("size", [46, 64, 70])
+def test_words_that_agree_in_order(size):
+    rng = np.random.default_rng(size)
+    x = rng.integers(0, 30, (20, size)).astype(np.uint16)
+    y = np.where(rng.random((20, size)) < 0.3, rng.integers(0, 30, (20, size)), np.roll(x, 3, axis=1)).astype(np.uint16)
+    each, whole = substrings.agreeing(x, y)
+    for k in range(20):
+        assert whole[k] == longest(x[k].tolist(), y[k].tolist())
+        assert all(each[k, n] == longest(x[k, :n].tolist(), y[k, :n].tolist()) for n in (0, 1, 9, size))
+
+
+def test_edited_copies_in_a_crowd_are_linked_not_paired():
+    rng = np.random.default_rng(44)
+    base = rng.integers(1, 60_000, (2, 60))
+
+    def side(words):
+        words = [*words]
+        for k, at in enumerate(sorted(rng.choice(40, 2, replace=False))):
+            if rng.random() < 0.5:
+                words.insert(at, 60_001 + int(rng.integers(0, 5000)))
+            else:
+                words.pop(at - k)
+        return words[:46]
+
+    copies = [[*side(base[0])[::-1], 7, 8, 9, 10, *side(base[1])] for _ in range(200)]
+    for row in copies[:40]:  # these end sooner than the others
+        row[86:] = [0] * 10
+    words = np.array(copies, np.uint16)
+    met = [(int(a), int(b)) for x, y in substrings.met_in_crowd(words, np.arange(200), 50, 0.8) for a, b in zip(x, y)]
+    assert all(b < a for a, b in met) and set(groups_of(200, met)) == {0}
+    assert all(any(a == k for a, _ in met) for k in range(1, 200))
+    assert len(met) < 5 * 200  # pairs of the rows: 19,900
+    for k in range(40, 200):  # a copy whose words go on further than its first partner's has one that goes on as far
+        assert any((words[b, 86:] != 0).all() for a, b in met if a == k) or k == 40
+
+
 def test_chunks_of_a_crowd_meet():
     rng = np.random.default_rng(43)
     words = rng.integers(1, 1 << 16, (90, 96)).astype(np.uint16)
