@@ -408,6 +408,84 @@ def test_chunks_of_a_crowd_meet():
     assert sorted(got) == [(45 + k, k) for k in range(45)]
 
 
+def test_of_equal_surroundings_those_of_the_first_document_meet_others():
+    rng = np.random.default_rng(45)
+    kinds = rng.integers(1, 1 << 16, (3, 96)).astype(np.uint16)
+    rows = sorted({(int(rng.integers(0, 2)), k, int(rng.integers(0, 60)), int(rng.integers(0, 40))) for k in rng.integers(0, 3, 900).tolist()})
+    names = ["seed", "chunks", "uid", "pos", "words", "kind"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    full = [(seed, 9, uid, pos, kinds[kind].tobytes(), kind) for seed, kind, uid, pos in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full), types)], names=names)
+    got = [r for b in substrings.class_rows(batch.slice(at, 7) for at in range(0, len(rows), 7)) for r in b.to_pylist()]
+    first = {}
+    for seed, kind, uid, pos in rows:
+        first.setdefault((seed, kind), (uid, pos))
+    stay = [(seed, uid, pos, kinds[kind].tobytes()) for seed, kind, uid, pos in rows if first[seed, kind][0] == uid]
+    assert [(r["seed"], r["uid"], r["pos"], r["words"]) for r in got if r["b"] is None] == stay and len(stay) < 100
+    linked = [(uid, -1 - pos, first[seed, kind][0], -1 - first[seed, kind][1]) for seed, kind, uid, pos in rows if first[seed, kind][0] != uid]
+    assert [(r["uid"], r["pos"], r["b"], r["pb"]) for r in got if r["b"] is not None] == linked
+
+
+def test_one_word_repeated_in_many_documents_is_covered(spark):
+    rng = random.Random(46)
+    size = [rng.randint(120, 300) for _ in range(30)]
+    rows = [(k, f"{prose(rng, 30)} {'the ' * n}{prose(rng, 30)}", "s") for k, n in enumerate([300, *size])]
+    found = {k: set() for k, _, _ in rows}
+    for r in substrings.passages(documents(spark, rows)).collect():
+        found[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    # what an alignment leaves at an end is shorter than a passage
+    assert not found[0] and all(len({*range(30, 30 + n)} - found[k]) < 50 for k, n in enumerate(size, 1))
+
+
+def test_small_crowds_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(47)
+    crowds = []
+    for n in (20, 1, 35, 60, 18):
+        words = np.repeat(rng.integers(1, 9, (n // 3 + 1, 96)), 3, axis=0)[:n]
+        edited = rng.random(words.shape) < 0.15
+        crowds.append((np.where(edited, rng.integers(1, 9, words.shape), words).astype(np.uint16), np.sort(rng.integers(0, n, n))))
+    alone = [[(x.tolist(), y.tolist()) for x, y in substrings.met_in_crowd(*crowd, 50, 0.8)] for crowd in crowds]
+    calls, plain = [], substrings.in_order
+    monkeypatch.setattr(substrings, "in_order", lambda x, *rest: calls.append(len(x)) or plain(x, *rest))
+    side_by_side = [[] for _ in crowds]
+    for k, x, y in substrings.met_in_crowds(iter(crowds), 50, 0.8):
+        side_by_side[k].append((x.tolist(), y.tolist()))
+    together = len(calls)
+    assert side_by_side == alone and any(map(len, alone))
+    for crowd in crowds:
+        for _ in substrings.met_in_crowd(*crowd, 50, 0.8):
+            pass
+    assert together < (len(calls) - together) / 2
+
+
+def test_words_on_unlike_sides_of_a_seed_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(48)
+    words = rng.integers(10, 1 << 16, (40, 96)).astype(np.uint16)
+    words[:20, :46] = words[20:, 50:] = 3
+    words[:, 46:50] = 7
+    words[:20, 50:] = np.arange(1000, 1046)[rng.permutation(46)]
+    words[20:, :46] = np.arange(2000, 2046)
+    words[:20, rng.permutation(46)[:30] + 50] = words[20:, rng.permutation(46)[:30]] = 5
+    order = rng.permutation(40)
+    pairs, plain = [], substrings.in_order
+
+    def counted(x, y, *rest):
+        left = (x[:, :46] == 3).all(axis=1) != (y[:, :46] == 3).all(axis=1)
+        pairs.append(int(left.sum()))
+        return plain(x, y, *rest)
+
+    monkeypatch.setattr(substrings, "in_order", counted)
+    for _ in substrings.met_in_crowd(words[order], np.arange(40), 50, 0.8):
+        pass
+    assert not sum(pairs)
+    few = rng.integers(1, 30, (60, 96)).astype(np.uint16)
+    x, y = np.triu_indices(60, 1)
+    few[:, 46:50] = 7
+    bits, lost = substrings.sketches(few)
+    most = np.bitwise_count(bits[:, x] & bits[:, y]).sum(axis=0) + np.minimum(lost[x], lost[y])
+    assert (plain(few[x], few[y], 50, 0.8)[0] <= most).all()
+
+
 def test_shared_text_of_a_repeated_line_is_found(spark):
     rng = random.Random(24)
     pairs = []
