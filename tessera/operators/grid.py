@@ -15,6 +15,8 @@ from tessera.sources.frame import BOX
 DEEPEST, WIDEST = -16, 47
 #: Stands for the exponent of a side of zero, and of an endless one.
 NO_SIDE, ENDLESS = -10_000, 10_000
+#: Filed rows up to which a side is sent whole to every executor (some 10 MB); beyond that both are shuffled.
+SENT = 100_000
 
 
 def side_of() -> Column:
@@ -26,6 +28,10 @@ def exponent_of(side: Column) -> Column:
     return F.when(side <= 0, NO_SIDE).when(side == math.inf, ENDLESS).otherwise(F.ceil(F.log2(side))).cast("int")
 
 
+def within(level: int) -> int:
+    return min(max(level, DEEPEST), WIDEST)
+
+
 @dataclass(frozen=True)
 class Sizes:
     """What one pass over a table of boxes says of them."""
@@ -42,7 +48,12 @@ class Sizes:
 
     def levels(self, base: int) -> list[int]:
         """The distinct levels over a base of two to the power of ``base``: 64 at most."""
-        return sorted({min(max(e - base, DEEPEST), WIDEST) for e in self.rows})
+        return sorted({within(e - base) for e in self.rows})
+
+    def filed(self, base: int, levels: list[int] | None = None, above: bool = False) -> int:
+        """Rows at most that ``filed`` makes of the table."""
+        here = lambda v: 1 if levels is None else sum(w > v if above else w >= v for w in levels)
+        return sum(4 * n * here(within(e - base)) for e, n in self.rows.items())
 
 
 def sizes_of(df: DataFrame) -> Sizes:
@@ -111,6 +122,17 @@ def filed(df: DataFrame, base: int, levels: list[int] | None = None, above: bool
     return with_cells(df, base)
 
 
+def told(l: DataFrame, r: DataFrame, most_l: float, most_r: int, semi: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    """Both sides of a join on cells, with its strategy named by the rows that they can have. Spark's own
+    guess follows the size of the files read, whatever ``filed`` multiplies, and would gather on the
+    driver what it takes for small."""
+    if most_r <= SENT:
+        return l, r.hint("broadcast")
+    if most_l <= SENT and not semi:
+        return l.hint("broadcast"), r
+    return l, r.hint("merge")
+
+
 def within_extent(df: DataFrame, *sizes: Sizes, pads: int = 1, finite: bool = False) -> DataFrame:
     """Infinite coordinates brought to just beyond all finite ones, which changes no intersection;
     with ``finite`` the finite ones beyond the extent instead."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,13 @@ def plain(data: SpatialFrame) -> DataFrame:
     return data.as_boxes().df.select("id", *BOX)
 
 
-def prepared(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, int, list[int], list[int]]:
-    """Both sides with finite boxes, the base of their grid and the levels of each: one pass a side."""
+def prepared(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, int, grid.Sizes, grid.Sizes]:
+    """Both sides with finite boxes, the base of their grid and the sizes of each: one pass a side."""
     one, other = grid.upright(grid.sizes_of(a), "left"), grid.upright(grid.sizes_of(b), "right")
     if one.endless or other.endless:
         a, b = grid.within_extent(a, one, other), grid.within_extent(b, one, other)
         one, other = grid.sizes_of(a), grid.sizes_of(b)
-    base = grid.base_of(one, other)
-    return a, b, base, one.levels(base), other.levels(base)
+    return a, b, grid.base_of(one, other), one, other
 
 
 def same_cell():
@@ -38,16 +39,20 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     side that is wider than its own. A crowded cell is a skewed key, which AQE splits.
     """
     names_a, names_b = a.columns, b.columns
-    a, b, base, levels_a, levels_b = prepared(a, b)
+    a, b, base, one, other = prepared(a, b)
+    levels_a, levels_b = one.levels(base), other.levels(base)
 
-    def met(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+    def met(l: DataFrame, r: DataFrame, most_l: int, most_r: int) -> DataFrame:  # noqa: E741
         size = grid.width(F.col("l.level"), base)
         corner = (F.floor(F.greatest("l.min_x", "r.min_x") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.min_y", "r.min_y") / size) == F.col("l.cy"))
-        pairs = l.alias("l").join(r.alias("r"), same_cell() & corner)
+        l, r = grid.told(l.alias("l"), r.alias("r"), most_l, most_r)  # noqa: E741
+        pairs = l.join(r, same_cell() & corner)
         return pairs.select(F.struct(*[F.col(f"l.`{c}`") for c in names_a]).alias("l"), F.struct(*[F.col(f"r.`{c}`") for c in names_b]).alias("r"))
 
     # the left box is the larger or of the same level, then the right one is larger
-    return met(grid.filed(a, base), grid.filed(b, base, levels_a)).unionByName(met(grid.filed(a, base, levels_b, above=True), grid.filed(b, base)))
+    larger = met(grid.filed(a, base), grid.filed(b, base, levels_a), one.filed(base), other.filed(base, levels_a))
+    smaller = met(grid.filed(a, base, levels_b, above=True), grid.filed(b, base), one.filed(base, levels_b, above=True), other.filed(base))
+    return larger.unionByName(smaller)
 
 
 def tree_join(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
@@ -67,10 +72,15 @@ def parted(left: SpatialFrame, right: SpatialFrame, how: str) -> DataFrame:
     numbered = Written(left.df.sparkSession)(left.df.withColumn(row, F.monotonically_increasing_id()))
     low_x, low_y, high_x, high_y = ("x", "y", "x", "y") if left.is_points else left.roles
     own = numbered.select(F.col(row).alias("id"), *[F.col(c).alias(n) for c, n in zip((low_x, low_y, high_x, high_y), BOX, strict=True)])
-    a, b, base, levels_a, levels_b = prepared(own, plain(right))
-    sides = ((grid.filed(a, base), grid.filed(b, base, levels_a)), (grid.filed(a, base, levels_b, above=True), grid.filed(b, base)))
-    hits = [l.alias("l").join(r.alias("r"), same_cell(), "left_semi").select(F.col("id").alias(row)) for l, r in sides]  # noqa: E741
-    return numbered.join(hits[0].unionByName(hits[1]).distinct(), row, how).drop(row)
+    a, b, base, one, other = prepared(own, plain(right))
+    levels_a, levels_b = one.levels(base), other.levels(base)
+    sides = (
+        (grid.filed(a, base), grid.filed(b, base, levels_a), other.filed(base, levels_a)),
+        (grid.filed(a, base, levels_b, above=True), grid.filed(b, base), other.filed(base)),
+    )
+    sides = [grid.told(l.alias("l"), r.alias("r"), math.inf, most, semi=True) for l, r, most in sides]  # noqa: E741
+    hits = [l.join(r, same_cell(), "left_semi").select(F.col("id").alias(row)) for l, r in sides]  # noqa: E741
+    return numbered.join(hits[0].unionByName(hits[1]).distinct().hint("merge"), row, how).drop(row)
 
 
 def semi(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
@@ -85,11 +95,12 @@ def anti(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
 
 def refined(left: SpatialFrame, right: SpatialFrame, condition) -> DataFrame:
     """Candidate pairs that an exact condition on both rows (aliases l and r) confirms; rows are
-    found again by id, so those without one are not."""
+    found again by id, so those without one are not. Both joins sort and merge: Spark would take a
+    table for as small as its file."""
     pairs = tree_join(left, right)
     return (
-        pairs.join(left.df.alias("l"), F.col("left") == F.col("l.id"))
-        .join(right.df.alias("r"), F.col("right") == F.col("r.id"))
+        pairs.join(left.df.alias("l").hint("merge"), F.col("left") == F.col("l.id"))
+        .join(right.df.alias("r").hint("merge"), F.col("right") == F.col("r.id"))
         .where(condition)
         .select("left", "right")
     )

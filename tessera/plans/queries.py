@@ -116,7 +116,7 @@ def stream_join(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     located = stream.select(F.col("event_id").alias("id"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("y"))
-    return drained(spark, stream_static_join(points(located).as_boxes(), parts(spark, sf)), "join")
+    return drained(spark, stream_static_join(points(located), parts(spark, sf)), "join")
 
 
 def queries() -> dict[str, Query]:

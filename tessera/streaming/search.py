@@ -39,13 +39,16 @@ def stream_static_join(stream: SpatialFrame, static: SpatialFrame) -> DataFrame:
     top = min(max(math.ceil(math.log2(span)) - base, grid.DEEPEST), grid.WIDEST) if span > 0 else grid.DEEPEST
     levels = sizes.levels(base)
 
-    def met(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+    def met(l: DataFrame, r: DataFrame, most: int) -> DataFrame:  # noqa: E741
         size = grid.width(F.col("l.level"), base)
         corner = (F.floor(F.greatest("l.min_x", "r.min_x") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.min_y", "r.min_y") / size) == F.col("l.cy"))
-        return l.alias("l").join(r.alias("r"), same_cell() & corner).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
+        l, r = grid.told(l.alias("l"), r.alias("r"), math.inf, most)  # noqa: E741
+        return l.join(r, same_cell() & corner).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
 
-    every = list(range(grid.DEEPEST, top + 1))
-    return met(grid.filed(left, base), grid.filed(right, base, every)).unionByName(met(grid.filed(left, base, levels, above=True), grid.filed(right, base)))
+    # points are at the deepest level, whatever comes
+    every = [grid.DEEPEST] if stream.is_points else list(range(grid.DEEPEST, top + 1))
+    larger = met(grid.filed(left, base), grid.filed(right, base, every), sizes.filed(base, every))
+    return larger.unionByName(met(grid.filed(left, base, levels, above=True), grid.filed(right, base), sizes.filed(base)))
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -86,6 +86,30 @@ def test_refined_join(spark):
     assert pairs(join.refined(a, b, F.col("l.max_x") > 5)) == [(1, 0)]
 
 
+def test_sides_that_grow_when_filed_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes a filed table for as small as its file; joins go by the rows that it can have."""
+    from tessera import boxes, points
+    from tessera.operators import grid
+
+    a, b = np.concatenate([random_boxes(200, 21), random_boxes(40, 22, side=200)]), random_boxes(150, 23, side=30)
+    for name, rows in (("a", a), ("b", b)):
+        box_frame(spark, rows).df.write.parquet(str(tmp_path / name))
+    left, right = (boxes(spark.read.parquet(str(tmp_path / name))) for name in "ab")
+    dots = points(left.df, ["min_x", "min_y"])
+    shapes = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for most in (10**6, -1):
+        monkeypatch.setattr(grid, "SENT", most)
+        found = [join.tree_join(left, right), join.semi(left, right), join.anti(left, right), join.refined(left, right, F.col("l.max_x") > F.col("r.max_x")), stream_static_join(left, right), stream_static_join(dots, right)]
+        assert all(("Broadcast" in shapes(df)) == (most > 0) for df in found)
+        want = brute(a, b)
+        assert pairs(found[0]) == pairs(found[4]) == want and pairs(found[3]) == [(i, j) for i, j in want if a[i, 2] > b[j, 2]]
+        assert ids(found[1]) == sorted({i for i, _ in want}) and ids(found[2]) == sorted(set(range(len(a))) - {i for i, _ in want})
+        assert pairs(found[5]) == brute(a[:, [0, 1, 0, 1]], b)
+    sizes, levels = grid.sizes_of(left.df), [-3, 0, 2]
+    for args in ((), (levels,), (levels, True)):
+        assert grid.filed(left.df, 5, *args).count() <= sizes.filed(5, *args)
+
+
 def curve(x, y, bits=16):
     d = 0
     for s in reversed(range(bits)):
