@@ -75,7 +75,7 @@ def many_shapes(df: DataFrame) -> DataFrame:
 
 def narrow(spark: SparkSession, sf: str) -> DataFrame:
     """What comes back from a buffer of 32-bit floats."""
-    return buffer.decode_rtree(spark, buffer.encode_rtree(numbered(orders(spark, sf)), coord_type="float32")).drop("pos")
+    return buffer.decode_rtree(spark, buffer.rtree_pieces(numbered(orders(spark, sf)), coord_type="float32")).drop("pos")
 
 
 def kd_walk(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,8 +160,8 @@ def queries() -> dict[str, Query]:
         "extent_agg": lambda s, d: cluster.around(orders(s, d).df, (F.col("id") % 8).alias("part")),
         "geom_bbox": lambda s, d: boxed(shapes(orders(s, d).df).select("id", geometry.bbox(F.col("geometry")).alias("box"))),
         "knn_geometry_haversine": lambda s, d: ranked(knn.neighbours_geometry(lonlat_points(s, d), geometry.point(*LONLAT), 25, metric="haversine"), 3),
-        "rtree_buffer": lambda s, d: buffer.decode_rtree(s, buffer.encode_rtree(numbered(orders(s, d)))).drop("pos"),
-        "kdtree_buffer": lambda s, d: buffer.decode_kdtree(s, buffer.encode_kdtree(numbered(order_points(s, d)))).drop("pos"),
+        "rtree_buffer": lambda s, d: buffer.decode_rtree(s, buffer.rtree_pieces(numbered(orders(s, d)))).drop("pos"),
+        "kdtree_buffer": lambda s, d: buffer.decode_kdtree(s, buffer.kdtree_pieces(numbered(order_points(s, d)))).drop("pos"),
         "rtree_buffer_f32": narrow,
         "rtree_children": top_children,
         "kd_traversal": kd_walk,

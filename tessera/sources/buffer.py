@@ -1,4 +1,4 @@
-"""Packed index buffers: encoding a frame of bounded size, and reading such a buffer as rows.
+"""Packed index buffers: encoding a frame, as bytes or in pieces, and reading such a buffer as rows.
 
 R-tree buffer: byte 0xfb; version 3 and coordinate type in one byte; node size (16 bits); item count
 (32 bits); the boxes of all levels, items first; then an index for each box: an item's insertion
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from tessera.errors import SpatialError
 from tessera.operators.cluster import tree_nodes
 from tessera.operators.kd import kd_order
 from tessera.operators.meta import KDTreeMetadata, RTreeMetadata, level_sizes, narrowed
-from tessera.sources.frame import BOX, SpatialFrame, boxes, points
+from tessera.sources.frame import BOX, POINT, SpatialFrame, boxes, points
 
 # Fixed values of the two formats.
 RTREE_MAGIC, RTREE_VERSION = 0xFB, 3
@@ -28,8 +29,10 @@ KD_MAGIC, KD_VERSION = 0xDB, 1
 HEADER = 8
 TYPES = ("int8", "uint8", "uint8", "int16", "uint16", "int32", "uint32", "float32", "float64")
 CODES = {"int8": 0, "uint8": 1, "int16": 3, "uint16": 4, "int32": 5, "uint32": 6, "float32": 7, "float64": 8}
-#: Items that a buffer, which one process holds, may have: beyond that the sink is Parquet.
+#: Items that a buffer's bytes in one process may have: beyond that it is in pieces.
 MOST = 10_000_000
+#: Nodes or points that are dealt to a task together, and a run's at most.
+PIECE = 65_536
 
 
 def header(magic: int, version: int, coord_type: str, node_size: int, n: int) -> bytes:
@@ -38,12 +41,7 @@ def header(magic: int, version: int, coord_type: str, node_size: int, n: int) ->
 
 def bounded(n: int) -> None:
     if n > MOST:
-        raise SpatialError(f"{n} items are too many for one buffer; write Parquet instead")
-
-
-def insertion(ids: np.ndarray, n: int) -> None:
-    if len(ids) and (ids.min() < 0 or ids.max() >= n):
-        raise SpatialError("a buffer's ids are insertion indexes, 0 to the number of items less one")
+        raise SpatialError(f"{n} items are too many for the bytes of one buffer; make it in pieces")
 
 
 def fitted(data: SpatialFrame, coord_type: str) -> SpatialFrame:
@@ -64,31 +62,83 @@ def fitted(data: SpatialFrame, coord_type: str) -> SpatialFrame:
     return data
 
 
-def encode_rtree(data: SpatialFrame, method: str = "hilbert", coord_type: str = "float64") -> bytes:
-    """The packed tree of at most MOST items, gathered on the driver as Arrow. ``method`` orders it."""
-    n = data.df.count()
-    bounded(n)
+@dataclass(frozen=True)
+class Pieces:
+    """A buffer of any size as rows of its bytes: ``at`` (the number of a run's first node, or point),
+    ``coords`` and ``numbers`` (the run's parts of the two sections). Runs are made and read by
+    executors, so nothing but counts reaches the driver; ``joined`` gives the bytes of a small one."""
+
+    meta: RTreeMetadata | KDTreeMetadata
+    rows: DataFrame
+
+    def joined(self) -> bytes:
+        bounded(self.meta.num_items)
+        rows = self.rows.toArrow()
+        order = np.argsort(rows["at"].to_numpy())
+        coords, numbers = (b"".join(rows[c].take(pa.array(order)).to_pylist()) for c in ("coords", "numbers"))
+        meta = self.meta
+        if isinstance(meta, RTreeMetadata):
+            return header(RTREE_MAGIC, RTREE_VERSION, meta.coord_type, meta.node_size, meta.num_items) + coords + numbers
+        return header(KD_MAGIC, KD_VERSION, meta.coord_type, meta.node_size, meta.num_items) + numbers + bytes(meta.padding) + coords
+
+
+def pieces_of(meta: RTreeMetadata | KDTreeMetadata, rows: DataFrame) -> Pieces:
+    """Rows: at, number and the coordinates. Runs are as long as an Arrow batch, PIECE at most."""
+    kind, width, piece = np.dtype(meta.coord_type).newbyteorder("<"), meta.index_width, PIECE
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, *places = (c.to_numpy() for c in batch.columns)
+            if not len(at):
+                continue
+            coords, number = np.stack(places, 1).astype(kind), number.astype(f"<u{width}")
+            cuts = [0, *(np.flatnonzero((np.diff(at) != 1) | (at[1:] % piece == 0)) + 1).tolist(), len(at)]
+            runs = list(zip(cuts[:-1], cuts[1:], strict=True))
+            columns = [pa.array(at[cuts[:-1]]), pa.array([coords[i:j].tobytes() for i, j in runs], pa.binary()), pa.array([number[i:j].tobytes() for i, j in runs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "coords", "numbers"])
+
+    dealt = rows.repartition(F.floor(F.col("at") / piece)).sortWithinPartitions("at")
+    return Pieces(meta, dealt.mapInArrow(pack, "at long, coords binary, numbers binary"))
+
+
+def counted(data: SpatialFrame) -> int:
+    """The number of items, whose ids are insertion indexes: one job."""
+    n, low, high = data.df.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if low is not None and (low < 0 or high >= n):
+        raise SpatialError("a buffer's ids are insertion indexes, 0 to the number of items less one")
+    return n
+
+
+def rtree_pieces(data: SpatialFrame, method: str = "hilbert", coord_type: str = "float64") -> Pieces:
+    """The packed tree, of as many items as its 32-bit offsets reach. ``method`` orders it."""
+    n = counted(data)
     meta = RTreeMetadata(n, data.node_size, coord_type)
-    rows = tree_nodes(fitted(data.as_boxes(), coord_type), method).orderBy("level", "pos").toArrow()
-    columns = {c: rows[c].fill_null(0).to_numpy() for c in ("level", "child_start", "id")}
-    insertion(columns["id"][columns["level"] == 0], n)
-    begin = np.concatenate([[0], np.cumsum(level_sizes(n, data.node_size))])
-    level = columns["level"]
-    child = np.where(level > 0, 4 * (begin[np.maximum(level, 1) - 1] + columns["child_start"]), columns["id"])
-    corners = np.stack([rows[c].to_numpy() for c in BOX], 1).astype(np.dtype(coord_type).newbyteorder("<"))
-    return header(RTREE_MAGIC, RTREE_VERSION, coord_type, data.node_size, n) + corners.tobytes() + child.astype(f"<u{meta.index_width}").tobytes()
+    if 4 * meta.num_nodes > 1 << 32:
+        raise SpatialError(f"{n} items are too many for offsets of 32 bits")
+    begin = np.concatenate([[0], np.cumsum(level_sizes(n, data.node_size))]).tolist()
+    first = lambda level: F.get(F.array(*[F.lit(b).cast("long") for b in begin]), level)
+    child = F.when(F.col("level") > 0, 4 * (first(F.greatest(F.col("level"), F.lit(1)) - 1) + F.col("child_start"))).otherwise(F.col("id").cast("long"))
+    nodes = tree_nodes(fitted(data.as_boxes(), coord_type), method)
+    return pieces_of(meta, nodes.select((first(F.col("level")) + F.col("pos")).alias("at"), F.coalesce(child, F.lit(0)).alias("number"), *BOX))
+
+
+def kdtree_pieces(data: SpatialFrame, coord_type: str = "float64") -> Pieces:
+    n = counted(data)
+    if n >= 1 << 32:
+        raise SpatialError(f"{n} items are too many for a count of 32 bits")
+    rows = kd_order(fitted(data, coord_type))
+    return pieces_of(KDTreeMetadata(n, data.node_size, coord_type), rows.select(F.col("pos").alias("at"), F.coalesce("id", F.lit(0)).alias("number"), "x", "y"))
+
+
+def encode_rtree(data: SpatialFrame, method: str = "hilbert", coord_type: str = "float64") -> bytes:
+    """The packed tree of at most MOST items as bytes of one process; ``rtree_pieces`` has no such bound."""
+    bounded(data.df.count())
+    return rtree_pieces(data, method, coord_type).joined()
 
 
 def encode_kdtree(data: SpatialFrame, coord_type: str = "float64") -> bytes:
-    n = data.df.count()
-    bounded(n)
-    meta = KDTreeMetadata(n, data.node_size, coord_type)
-    rows = kd_order(fitted(data, coord_type)).select("pos", "id", "x", "y").orderBy("pos").toArrow()
-    numbers = rows["id"].to_numpy()
-    insertion(numbers, n)
-    ids = numbers.astype(f"<u{meta.index_width}").tobytes()
-    coords = np.stack([rows[c].to_numpy() for c in ("x", "y")], 1).astype(np.dtype(coord_type).newbyteorder("<")).tobytes()
-    return header(KD_MAGIC, KD_VERSION, coord_type, data.node_size, n) + ids + bytes(meta.padding) + coords
+    bounded(data.df.count())
+    return kdtree_pieces(data, coord_type).joined()
 
 
 def coord_type_of(buffer: bytes) -> str:
@@ -135,12 +185,36 @@ def kdtree_items(buffer: bytes) -> pa.Table:
     return pa.table([np.arange(len(ids)), ids, *np.ascontiguousarray(coords.T)], ["pos", "id", "x", "y"])
 
 
-def decode_rtree(spark: SparkSession, buffer: bytes) -> DataFrame:
-    """pos, id and box of every item of a buffer in memory."""
+def unpacked(pieces: Pieces, columns: tuple[str, ...], row: str) -> DataFrame:
+    """The items in a buffer's pieces, by their packed position: read where the pieces lie."""
+    meta = pieces.meta
+    kind, n = np.dtype(meta.coord_type).newbyteorder("<"), meta.num_items
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, coords, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(numbers, f"<u{meta.index_width}")[: max(0, n - at)].astype(np.int64)
+                if len(ids):
+                    places = np.frombuffer(coords, kind).reshape(-1, len(columns))[: len(ids)].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(ids))), pa.array(ids), *map(pa.array, np.ascontiguousarray(places.T))], names=["pos", "id", *columns])
+
+    return pieces.rows.mapInArrow(unpack, row)
+
+
+def decode_rtree(spark: SparkSession, buffer: bytes | Pieces) -> DataFrame:
+    """pos, id and box of every item of a buffer, in memory or in pieces."""
+    if isinstance(buffer, Pieces):
+        if not isinstance(buffer.meta, RTreeMetadata):
+            raise SpatialError("the buffer is an index of another kind")
+        return unpacked(buffer, BOX, RTREE_ROW)
     return spark.createDataFrame(rtree_items(bytes(buffer)), RTREE_ROW)
 
 
-def decode_kdtree(spark: SparkSession, buffer: bytes) -> DataFrame:
+def decode_kdtree(spark: SparkSession, buffer: bytes | Pieces) -> DataFrame:
+    if isinstance(buffer, Pieces):
+        if not isinstance(buffer.meta, KDTreeMetadata):
+            raise SpatialError("the buffer is an index of another kind")
+        return unpacked(buffer, POINT, KD_ROW)
     return spark.createDataFrame(kdtree_items(bytes(buffer)), KD_ROW)
 
 

@@ -1,5 +1,6 @@
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tessera.operators import knn, search
 from tessera.sources import buffer
 from tessera.sources.frame import together
 from tessera.sources.wkb import from_wkb, parsed
-from tests.fixtures import box_frame, ids, point_frame
+from tests.fixtures import box_frame, ids, point_frame, random_boxes
 
 
 def wkb_point(x, y, order="<"):
@@ -69,3 +70,29 @@ def test_buffers_hold_insertion_indexes_alone(spark):
     far = type(data)(data.df.withColumn("id", F.col("id") + 7), data.roles, data.node_size)
     with pytest.raises(SpatialError):
         buffer.encode_rtree(far)
+
+
+def test_buffers_in_pieces_have_no_bound_of_one_process(spark, monkeypatch):
+    from tessera.operators import meta
+    from tessera.plans import queries
+
+    monkeypatch.setattr(buffer, "PIECE", 16)
+    rows = random_boxes(300, 33)
+    data, dots = box_frame(spark, rows), point_frame(spark, rows[:, :2])
+    tree, kd_tree = buffer.rtree_pieces(data), buffer.kdtree_pieces(dots)
+    raw = tree.joined()
+    assert tree.rows.count() > 3 and buffer.metadata_of(raw) == meta.RTreeMetadata(300)
+    assert buffer.decode_rtree(spark, tree).orderBy("pos").collect() == buffer.decode_rtree(spark, raw).collect()
+    assert buffer.decode_kdtree(spark, kd_tree).orderBy("pos").collect() == buffer.decode_kdtree(spark, kd_tree.joined()).collect()
+    for wrong in (lambda: buffer.decode_kdtree(spark, tree), lambda: buffer.decode_rtree(spark, kd_tree)):
+        with pytest.raises(SpatialError):
+            wrong()
+    # every node's first child as an offset of four to a box, in level order
+    width = meta.RTreeMetadata(300).index_width
+    assert np.frombuffer(raw[-22 * width :], f"<u{width}").tolist() == [64 * k for k in range(19)] + [4 * 300, 4 * 316, 4 * 319]
+    monkeypatch.setattr(buffer, "MOST", 100)
+    with pytest.raises(SpatialError):
+        buffer.encode_rtree(data)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert [queries.queries()[q](spark, sf).count() for q in ("rtree_buffer", "kdtree_buffer", "rtree_buffer_f32")] == [n] * 3
