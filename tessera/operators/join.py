@@ -17,19 +17,30 @@ def plain(data: SpatialFrame) -> DataFrame:
     return data.as_boxes().df.select("id", *BOX)
 
 
-def prepared(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, int, grid.Sizes, grid.Sizes]:
-    """Both sides with finite boxes, the base of their grid and the sizes of each: one pass a side."""
-    one, other = grid.upright(grid.sizes_of(a), "left"), grid.upright(grid.sizes_of(b), "right")
+def prepared(a: DataFrame, b: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int, grid.Sizes, grid.Sizes]:
+    """Both sides with finite boxes, the base of their grid and the sizes of each: one pass a side; of
+    one side alone both are that."""
+    one = grid.upright(grid.sizes_of(a), "left")
+    other = one if b is None else grid.upright(grid.sizes_of(b), "right")
     if one.endless or other.endless:
-        a, b = grid.within_extent(a, one, other), grid.within_extent(b, one, other)
-        one, other = grid.sizes_of(a), grid.sizes_of(b)
-    return a, b, grid.base_of(one, other), one, other
+        a, b = grid.within_extent(a, one, other), None if b is None else grid.within_extent(b, one, other)
+        one = grid.sizes_of(a)
+        other = one if b is None else grid.sizes_of(b)
+    return a, a if b is None else b, grid.base_of(one, other), one, other
 
 
 def same_cell():
     return (F.col("l.level") == F.col("r.level")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & bboxes_intersect("l", "r")
 
 
+def in_cells(l: DataFrame, r: DataFrame, base: int, most_l: int, most_r: int) -> DataFrame:  # noqa: E741
+    """Filed rows l and r that meet, in the cell that holds the corner of their common part."""
+    size = grid.width(F.col("l.level"), base)
+    corner = (F.floor(F.greatest("l.min_x", "r.min_x") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.min_y", "r.min_y") / size) == F.col("l.cy"))
+    l, r = grid.told(l.alias("l"), r.alias("r"), most_l, most_r)  # noqa: E741
+    return l.join(r, same_cell() & corner)
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows l and r (structs of the sides' columns, which hold a box each) of every pair that meets.
 
@@ -43,10 +54,7 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     levels_a, levels_b = one.levels(base), other.levels(base)
 
     def met(l: DataFrame, r: DataFrame, most_l: int, most_r: int) -> DataFrame:  # noqa: E741
-        size = grid.width(F.col("l.level"), base)
-        corner = (F.floor(F.greatest("l.min_x", "r.min_x") / size) == F.col("l.cx")) & (F.floor(F.greatest("l.min_y", "r.min_y") / size) == F.col("l.cy"))
-        l, r = grid.told(l.alias("l"), r.alias("r"), most_l, most_r)  # noqa: E741
-        pairs = l.join(r, same_cell() & corner)
+        pairs = in_cells(l, r, base, most_l, most_r)
         return pairs.select(F.struct(*[F.col(f"l.`{c}`") for c in names_a]).alias("l"), F.struct(*[F.col(f"r.`{c}`") for c in names_b]).alias("r"))
 
     # the left box is the larger or of the same level, then the right one is larger
@@ -62,9 +70,23 @@ def tree_join(left: SpatialFrame, right: SpatialFrame) -> DataFrame:
     Inverted boxes are an error; infinite coordinates meet what they reach; a null id is paired like
     any other. The boxes' sizes are counted (one job a side) when this is called.
     """
+    if left.df is right.df:
+        return self_join(left)
     return candidates(plain(left), plain(right)).select(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
 
 
+def self_join(data: SpatialFrame) -> DataFrame:
+    """``tree_join`` of a frame with itself by one join: the larger box of a pair finds the smaller, and
+    the pair is given in both directions; boxes of one level find each other."""
+    a, b, base, sizes, _ = prepared(plain(data))
+    levels = sizes.levels(base)
+    found = in_cells(grid.filed(a, base), grid.filed(b, base, levels), base, sizes.filed(base), sizes.filed(base, levels))
+    ids = F.struct(F.col("l.id").alias("left"), F.col("r.id").alias("right"))
+    back = F.struct(F.col("r.id").alias("left"), F.col("l.id").alias("right"))
+    smaller = grid.level_of(F.greatest(F.col("r.max_x") - F.col("r.min_x"), F.col("r.max_y") - F.col("r.min_y")), base) < F.col("l.level")
+    return found.select(F.explode(F.when(smaller, F.array(ids, back)).otherwise(F.array(ids))).alias("pair")).select("pair.left", "pair.right")
+
+
 def parted(left: SpatialFrame, right: SpatialFrame, how: str) -> DataFrame:
     """Rows of the left frame are numbered in a written table, so neither null nor equal ids matter;
     a semi join on cells then marks numbers, and no pair is ever formed."""

@@ -141,7 +141,7 @@ def queries() -> dict[str, Query]:
         "dist_euclid": lambda s, d: orders(s, d).df.select("id", F.round(Euclidean().distance_to_bbox(F.lit(AT[0]), F.lit(AT[1]), box_columns()), 6).alias("distance")),
         "dist_haversine": lambda s, d: customers(s, d).df.select("id", F.round(Haversine().distance_to_bbox(F.lit(LONLAT[0]), F.lit(LONLAT[1]), box_columns()), 3).alias("distance")),
         "tree_join": lambda s, d: join.tree_join(orders(s, d), parts(s, d)),
-        "tree_self_join": lambda s, d: join.tree_join(orders(s, d), orders(s, d)),
+        "tree_self_join": lambda s, d: join.self_join(orders(s, d)),
         "join_semi": lambda s, d: join.semi(orders(s, d), parts(s, d)).select("id"),
         "join_anti": lambda s, d: join.anti(orders(s, d), parts(s, d)).select("id"),
         "hilbert_key": lambda s, d: hilbert_of(orders(s, d)).select("id", "key"),

@@ -38,6 +38,16 @@ def test_self_join_keeps_both_directions(spark):
     assert pairs(join.tree_join(data, data)) == brute(np.array(rows, float), np.array(rows, float))
 
 
+def test_a_self_join_files_its_boxes_for_one_join(spark):
+    inf = float("inf")
+    rows = np.concatenate([random_boxes(150, 24), random_boxes(20, 25, side=300), [[5, 5, 5, 5]] * 2, [[0, 0, 2000, 2000], [-inf, 3, inf, 3], [7, 7, inf, 9]]])
+    data = box_frame(spark, rows)
+    found = join.tree_join(data, data)
+    assert pairs(found) == pairs(join.self_join(data)) == brute(rows, rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert pairs(join.self_join(box_frame(spark, []))) == []
+
+
 def test_join_of_nothing_and_of_inverted_boxes(spark):
     none, one = box_frame(spark, []), box_frame(spark, [(0, 0, 1, 1)])
     assert pairs(join.tree_join(none, one)) == pairs(join.tree_join(one, none)) == pairs(join.tree_join(none, none)) == []
