@@ -2,8 +2,10 @@
 
 Coarse centroids and the codebooks of residuals are fitted by k-means on a bounded sample
 (``SAMPLE`` vectors with the lowest hashes); every vector is indexed. A query is compared with the
-lists of its nearest centroids, as many as brute force on the sample says that it takes: an asymmetric distance table scores all codes of a list,
-the best are reranked by the exact distance on the original vectors.
+lists of its nearest centroids, as many as brute force on the sample says that it takes, for vectors
+of the sample and for queries: an asymmetric distance table scores all codes of a list, and those that
+may be among the best, by how far their vectors are off from their codes, are ranked by the exact
+distance on the original vectors.
 
 Equal vectors are one entry that knows its smallest ids, so a vector shared by a third of all rows
 is searched once. Lists are dealt in blocks of bounded size, so a hot list is many tasks' work. A
@@ -40,8 +42,8 @@ COVERED = 0.97
 SUBSPACES, CODES = 16, 256
 #: Entries of a list, and queries to it, that one task holds at once.
 BLOCK = 4_096
-#: Of each block, for each query, reranked by exact distance.
-RERANK = 8
+#: Vectors of the sample, and queries, whose neighbours brute force finds there.
+TRIALS = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -151,7 +153,8 @@ FOUND = pa.schema([("query", pa.int64()), ("entry", pa.int64()), ("score", pa.fl
 
 
 def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) -> pa.Table:
-    """For each query the k best entries of the block: the nearest by table, reranked exactly."""
+    """For each query the k best entries of the block, ranked exactly. By the table an entry is as far as
+    its codes, give or take how far it is off from them: those that cannot be among the k go unread."""
     if not queries.num_rows or not entries.num_rows:
         return FOUND.empty_table()
     width = index.centers.shape[1]
@@ -159,6 +162,11 @@ def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) ->
     x = matrix(entries["vector"].combine_chunks(), width)
     codes = np.frombuffer(b"".join(entries["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
     ids, owners = entries["entry"].to_numpy(), queries["query"].to_numpy()
+    coded = index.centers[entries["list"].to_numpy()]
+    for s, (part, book) in enumerate(zip(index.parts, index.books, strict=True)):
+        coded[:, part] += book[codes[:, s]]
+    # what rounding may add to either distance, too
+    off = np.sqrt(((x - coded) ** 2).sum(1)) + 1e-6 * np.sqrt((x**2).sum(1).max() + (q**2).sum(1).max())
     asks: dict[int, list[int]] = {}
     for i, lists in enumerate(queries["lists"].to_pylist()):
         for one in lists:
@@ -181,9 +189,10 @@ def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) ->
     out = []
     for i, found in enumerate(candidates):
         if found:
-            rows, line = np.concatenate(found), np.concatenate(about[i])
-            if len(rows) > RERANK * k:
-                rows = rows[np.argpartition(line, RERANK * k - 1)[: RERANK * k]]
+            rows, line = np.concatenate(found), np.sqrt(np.maximum(np.concatenate(about[i]), 0))
+            if len(rows) > k:
+                bound = np.partition(line + off[rows], k - 1)[k - 1]
+                rows = rows[line - off[rows] <= bound]
             exact = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
             best = np.lexsort((ids[rows], exact))[:k]
             out.append((np.full(len(best), owners[i]), ids[rows[best]], exact[best]))
@@ -192,25 +201,28 @@ def search_block(index: Index, k: int, queries: pa.Table, entries: pa.Table) ->
     return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
 
 
-def probes_for(index: Index, sample: np.ndarray, k: int, target: float, trials: int = 256) -> int:
+def probes_for(index: Index, sample: np.ndarray, k: int, target: float, asked: np.ndarray | None = None, trials: int = TRIALS) -> int:
     """The fewest lists a query must search so that they hold ``target`` of the true neighbours,
-    measured by brute force for some vectors of the sample against all of it; all of them for 1."""
+    measured by brute force against the sample for some of its vectors, and for the queries of
+    ``asked``, which may lie elsewhere: the larger of both; all of them for 1."""
     if target >= 1:
         return len(index.centers)
     own = nearest(sample, index.centers)
-    ranks = []
-    for i in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
-        far = squares(sample[i : i + 1], sample)[0]
-        far[i] = np.inf
-        near = np.argsort(far)[: min(k, len(sample) - 1)]
-        order = np.argsort(squares(sample[i : i + 1], index.centers)[0])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        ranks.append(place[own[near]])
-    found = np.concatenate(ranks)
-    if not len(found):
-        return len(index.centers)
-    return min(len(index.centers), int(np.quantile(found, target, method="higher")) + 1)
+    most = 0
+    for some in (sample[np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int)], asked):
+        ranks = []
+        for v in () if some is None else some:
+            far = ((sample - v) ** 2).sum(1)
+            near = np.argsort(far, kind="stable")
+            near = near[far[near] > 0][:k]  # entries are distinct: only itself is at zero
+            order = np.argsort(squares(v[None], index.centers)[0])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ranks.append(place[own[near]])
+        found = np.concatenate(ranks) if ranks else np.empty(0)
+        if len(found):
+            most = max(most, int(np.quantile(found, target, method="higher")) + 1)
+    return min(len(index.centers), most or len(index.centers))
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -244,12 +256,13 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     x = np.array([r["vector"] for r in sample.select("vector").toLocalIterator()], np.float64)
     lists = max(1, min(LISTS, len(x) // FOR_LIST, 1 << round(math.log2(max(1.0, 2 * math.sqrt(n))))))
     index = fit(x, lists)
-    probes = probes_for(index, x, k, COVERED)
     filed = written(
         entries.select("entry", "vector").mapInArrow(functools.partial(listed, index), "list int, codes binary, entry long, vector array<float>")
     )
     asked = written(one.where(F.col("vec_id") % every == 0).join(entries.select("vector", "entry"), "vector").select("vec_id", "entry"))
     queries = asked.select("entry").distinct().join(entries.select("entry", "vector"), "entry")
+    tried = queries.orderBy(F.xxhash64("entry"), "entry").limit(TRIALS).collect()
+    probes = probes_for(index, x, k, COVERED, np.array([r["vector"] for r in tried], np.float64))
     sizes = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     blocks = dealt(index, sizes, BLOCK)
     places = [(k, int(blocks.first[k]), int(blocks.parts[k])) for k in sizes]

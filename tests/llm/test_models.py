@@ -152,3 +152,35 @@ def test_scores_of_troublesome_documents(spark):
     odd = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, quality int")
     assert {r["score"] for r in quality_model.classify(docs, odd).collect()} == {0.5}
     assert quality_model.classify(docs.where(F.lit(False)), none).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["scales", "apart"])
+def test_neighbours_of_uneven_vectors_are_found(kind):
+    """Vectors of many lengths, whose codes tell short ones apart badly; queries that lie elsewhere."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, d, k = 4000, 32, 10
+    asked = np.arange(0, n, 50)
+    if kind == "scales":
+        x = rng.normal(size=(n, d)) * np.exp(3 * rng.normal(size=(n, 1)))
+    else:
+        x = rng.normal(size=(60, d))[rng.integers(0, 60, n)] + 0.05 * rng.normal(size=(n, d))
+        x[asked] = rng.normal(size=(len(asked), d))
+    index = ann.fit(x, 128)
+    own, codes = index.encode(x)
+    probes = ann.probes_for(index, x, k, ann.COVERED, x[asked])
+    near = np.argsort(ann.squares(x[asked], index.centers), 1)[:, :probes]
+    vectors = lambda rows: pa.array(rows.tolist(), pa.list_(pa.float64()))
+    queries = pa.table({"query": asked, "vector": vectors(x[asked]), "lists": pa.array(near.tolist(), pa.list_(pa.int32()))})
+    entries = pa.table({"list": own.astype(np.int32), "entry": np.arange(n), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "vector": vectors(x)})
+    found = ann.search_block(index, k + 1, queries, entries).to_pylist()
+    got = {(r["query"], r["entry"]) for r in found}
+    hits, inside = 0, 0
+    for i, q in enumerate(asked.tolist()):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        true = np.argsort(far)[:k]
+        hits += sum((q, int(v)) in got for v in true)
+        inside += int(np.isin(own[true], near[i]).sum())
+    assert hits == inside >= 0.95 * k * len(asked)
